@@ -1,27 +1,31 @@
 """SentencePiece encoding and decoding by a score-ordered agenda.
 
 A merge-type (BPE) vocabulary joins, again and again, the adjacent pair of symbols whose concatenation has
-the best score, the leftmost first among equals. The agenda is a heap of such pairs. No piece holds a
-space mark after another character or a line feed, so a text falls into chunks that encode
-independently; each worker keeps the encodings of short chunks in a bounded cache. Every chunk that enters
-the cache is checked against the sentencepiece library, a whole Arrow batch at a time; where they differ,
+the best score, the leftmost first among equals. No piece holds a space mark after another character or a
+line feed, so a text falls into chunks that encode independently; each worker keeps the encodings of short
+chunks in a bounded cache. The new short chunks of a batch are merged together: their agendas are the
+rows of one matrix, with a pair's rank at its place, and each step takes every row's best pair. A long
+chunk has a heap for its agenda. Every chunk that enters the cache is checked against the sentencepiece library, a whole Arrow batch at a time; where they differ,
 the library's ids are taken for the text and n_repaired is 1.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
 MARK = "▁"
-CACHED, LONGEST = 250_000, 64
+#: Entries of a worker's cache, and the most characters of a chunk that enters it.
+CACHED, LONGEST = 400_000, 32
+NONE = np.int32(2**31 - 1)
 
 
 def default_model() -> str:
@@ -30,16 +34,60 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class PairTable:
+    """(rank, id) of the concatenation of two symbols, by open addressing, for arrays of symbols at once."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        self.bits = max(4, (8 * len(pairs)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.ranks, self.ids = np.full(size, -1, np.int64), np.full(size, NONE), np.full(size, -1, np.int32)
+        for (x, y), (rank, i) in pairs.items():
+            at = int(self._slot(np.array([x << 32 | y]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) % size
+            self.keys[at], self.ranks[at], self.ids[at] = x << 32 | y, rank, i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Slots of the pairs; a free slot, of rank NONE, for a pair that makes no piece."""
+        keys = x.astype(np.int64) << 32 | y
+        at = self._slot(keys)
+        while True:
+            held = self.keys[at]
+            on = (held != keys) & (held >= 0)
+            if not on.any():
+                return at
+            at = np.where(on, (at + 1) & ((1 << self.bits) - 1), at)
+
+
 class AgendaEncoder:
     def __init__(self, model_file: str):
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.ids, self.scores = {}, {}
+        self.ids, scores = {}, {}
         for i in range(lib.get_piece_size()):
             if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i)):
                 self.ids[p := lib.id_to_piece(i)] = i
-                self.scores[p] = lib.get_score(i)
+                scores[p] = lib.get_score(i)
+        #: Of pieces, 0 for the best score; equal scores have equal ranks.
+        order = {score: r for r, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {p: order[score] for p, score in scores.items()}
+        pairs = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                if p[:k] in self.ids and p[k:] in self.ids:
+                    pairs[self.ids[p[:k]], self.ids[p[k:]]] = self.ranks[p], i
+        self.pairs = PairTable(pairs)
+        #: Whether all single characters of pieces are pieces; else chunks are merged by heap alone.
+        self.closed = all(c in self.ids for p in self.ids for c in p)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        self.names = [str(i) for i in range(lib.get_piece_size())]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("the vocabulary merges across words or lines")
         self.bytes = [lib.piece_to_id(f"<0x{i:02X}>") for i in range(256)]
@@ -50,45 +98,122 @@ class AgendaEncoder:
         self.unchecked: list[tuple[str, tuple]] = []
 
     def merge(self, chunk: str) -> list[int]:
-        """The ids of one chunk."""
-        symbols, scores, agenda = list(chunk), self.scores, []
+        """The ids of one chunk. An entry of the agenda is a number, rank * 2**32 + place; ``now`` has the
+        rank of the pair that begins at each place, so that entries of pairs that are gone are known by it."""
+        symbols, rank = list(chunk), self.ranks.get
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def consider(a: int, b: int) -> None:
-            joined = symbols[a] + symbols[b]
-            if joined in scores:
-                heapq.heappush(agenda, (-scores[joined], a, b, joined))
-
-        for i in range(n - 1):
-            consider(i, i + 1)
+        now = [rank(x + y, -1) for x, y in zip(symbols, symbols[1:])]
+        now.append(-1)
+        agenda = [r << 32 | i for i, r in enumerate(now) if r >= 0]
+        heapify(agenda)
         while agenda:
-            _, a, b, joined = heapq.heappop(agenda)
-            if symbols[a] and symbols[b] and after[a] == b and symbols[a] + symbols[b] == joined:
-                symbols[a], symbols[b] = joined, ""
-                after[a] = c = after[b]
-                if c < n:
-                    before[c] = a
-                    consider(a, c)
-                if before[a] >= 0:
-                    consider(before[a], a)
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.bytes[x] for x in s.encode("utf-8")]
-        return out
+            entry = heappop(agenda)
+            a = entry & 0xFFFFFFFF
+            if now[a] != entry >> 32:
+                continue
+            b = after[a]
+            symbols[a] += symbols[b]
+            symbols[b], now[b], c = "", -1, after[b]
+            after[a] = c
+            if c < n:
+                before[c] = a
+                now[a] = r = rank(symbols[a] + symbols[c], -1)
+                if r >= 0:
+                    heappush(agenda, r << 32 | a)
+            else:
+                now[a] = -1
+            p = before[a]
+            if p >= 0:
+                now[p] = r = rank(symbols[p] + symbols[a], -1)
+                if r >= 0:
+                    heappush(agenda, r << 32 | p)
+        ids = self.ids
+        try:
+            return [ids[s] for s in symbols if s]
+        except KeyError:
+            return [i for s in symbols if s for i in ([ids[s]] if s in ids else [self.bytes[x] for x in s.encode("utf-8")])]
+
+    def merge_all(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of many short chunks."""
+        out: list[list[int] | None] = [None] * len(chunks)
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        low = 0
+        for high in (8, 14, LONGEST + 1):
+            here = np.flatnonzero((lengths > low) & (lengths <= high)) if self.closed else []
+            low = high
+            if len(here):
+                self._merge_rows([chunks[i] for i in here], lengths[here], here.tolist(), out, high)
+        return [self.merge(c) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
+
+    def _merge_rows(self, chunks: list[str], lengths: np.ndarray, places: list[int], out: list, width: int) -> None:
+        pairs = self.pairs
+        symbols = np.full((len(chunks), width + 1), -2, np.int32)
+        filled = np.arange(width + 1) < lengths[:, None]
+        symbols[filled] = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        rows = np.flatnonzero(~((symbols == -1) & filled).any(1))  # chunks with unknown characters stay for the heap
+        symbols = symbols[rows]
+        ranks = pairs.ranks[pairs.find(np.maximum(symbols[:, :-1], 0), symbols[:, 1:].clip(0))]
+        ranks[symbols[:, 1:] < 0] = NONE
+        columns = np.arange(width + 1)
+
+        def finish(done_rows, done_symbols):
+            for r, line in zip(done_rows.tolist(), done_symbols.tolist(), strict=True):
+                out[places[r]] = line[: line.index(-2)]
+
+        while len(rows):
+            at = ranks.argmin(1)
+            every = np.arange(len(rows))
+            on = ranks[every, at] != NONE
+            if not on.all():
+                finish(rows[~on], symbols[~on])
+                rows, symbols, ranks, at = rows[on], symbols[on], ranks[on], at[on]
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            made = pairs.ids[pairs.find(symbols[every, at], symbols[every, at + 1])]
+            gone = columns > at[:, None]  # what stands right of the merged pair moves up by one
+            symbols = np.take_along_axis(symbols, np.minimum(columns + gone, width), 1)
+            symbols[:, -1] = -2
+            symbols[every, at] = made
+            ranks = np.take_along_axis(ranks, np.minimum(columns[:-1] + gone[:, :-1], width - 1), 1)
+            ranks[:, -1] = NONE
+            for left in (at - 1, at):
+                x, y = symbols[every, left.clip(0)], symbols[every, left.clip(0) + 1]
+                rank = pairs.ranks[pairs.find(x, y.clip(0))]
+                rank[y < 0] = NONE
+                keep = left >= 0
+                ranks[every[keep], left[keep]] = rank[keep]
+
+    def _entry(self, chunk: str, ids: list[int]) -> tuple:
+        names = self.names
+        found = (len(ids), ",".join([names[i] for i in ids]), ids)
+        self.unchecked.append((chunk, found))
+        return found
 
     def _new(self, cache: dict, key: str, chunk: str) -> tuple:
-        ids = self.merge(chunk)
-        found = (len(ids), ",".join(map(str, ids)), ids)
-        self.unchecked.append((chunk, found))
+        found = self._entry(chunk, self.merge(chunk))
         if len(key) <= LONGEST:
-            if len(cache) >= CACHED:
-                cache.clear()
             cache[key] = found
         return found
 
+    def learn(self, texts: list[str]) -> None:
+        """Puts the texts' new short chunks into the caches."""
+        for cache in (self.marked, self.bare):
+            if len(cache) > CACHED:
+                cache.clear()
+        marked: set[str] = set()
+        bare: set[str] = set()
+        for t in texts:
+            for line in f" {t}".split("\n"):
+                first, *rest = line.split(" ")
+                bare.add(first)
+                marked.update(rest)
+        for cache, words, mark in ((self.marked, marked, MARK), (self.bare, bare, "")):
+            new = [w for w in words if w and len(w) <= LONGEST and w not in cache and MARK not in w and " " not in w]
+            for w, ids in zip(new, self.merge_all([mark + w for w in new]), strict=True):
+                cache[w] = self._entry(mark + w, ids)
+
     def chunks(self, text: str) -> list[tuple]:
         """(number of ids, ids as text, ids) of each chunk in turn; none for an empty text."""
         if not text:
@@ -122,6 +247,7 @@ class AgendaEncoder:
 
     def batch(self, texts: list[str]) -> list[tuple[list[tuple], int]]:
         """For each text its chunks, checked, and 1 if the library's ids had to be taken for it."""
+        self.learn(texts)
         out = [(self.chunks(t), 0) for t in texts]
         if not self.check():
             out = [(self.library_chunks(t), 1) if self._differs(c, t) else (c, 0) for (c, _), t in zip(out, texts, strict=True)]
