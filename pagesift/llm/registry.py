@@ -1,7 +1,7 @@
 """The queries of the ten operators and, where SQL can state them, their SQL."""
 
-from . import exact_dedup, mixing, near_dedup, packing, piece_encoding, quality, secrets, sharding, token_counts
+from . import exact_dedup, mixing, near_dedup, neighbours, packing, piece_encoding, quality, secrets, sharding, token_counts
 
-MODULES = (exact_dedup, secrets, piece_encoding, near_dedup, token_counts, quality, mixing, packing, sharding)
+MODULES = (exact_dedup, secrets, piece_encoding, neighbours, near_dedup, token_counts, quality, mixing, packing, sharding)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
