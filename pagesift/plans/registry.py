@@ -1,7 +1,7 @@
 """All queries of the site operators, and their SQL."""
 
-from . import pages
+from . import captures, pages, relations
 
-MODULES = (pages,)
+MODULES = (pages, relations, captures)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
