@@ -24,7 +24,7 @@ from .common import table
 
 MARK = "▁"
 #: Entries of a worker's cache, and the most characters of a chunk that enters it.
-CACHED, LONGEST = 400_000, 32
+CACHED, LONGEST = 300_000, 32
 NONE = np.int32(2**31 - 1)
 
 
@@ -88,6 +88,7 @@ class AgendaEncoder:
             if len(p) == 1:
                 self.of_char[ord(p)] = i
         self.names = [str(i) for i in range(lib.get_piece_size())]
+        self.numbers = list(range(lib.get_piece_size()))  # one object per id, whatever the cache holds
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("the vocabulary merges across words or lines")
         self.bytes = [lib.piece_to_id(f"<0x{i:02X}>") for i in range(256)]
@@ -186,8 +187,8 @@ class AgendaEncoder:
                 ranks[every[keep], left[keep]] = rank[keep]
 
     def _entry(self, chunk: str, ids: list[int]) -> tuple:
-        names = self.names
-        found = (len(ids), ",".join([names[i] for i in ids]), ids)
+        names, numbers = self.names, self.numbers
+        found = (len(ids), ",".join([names[i] for i in ids]), [numbers[i] for i in ids])
         self.unchecked.append((chunk, found))
         return found
 

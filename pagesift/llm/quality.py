@@ -13,6 +13,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,17 +169,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` predicted to be good. Each row is scored by itself: rows that share an id don't matter to each other."""
     _, model = _learned(docs, labels, id_col, text_col, label_col)
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                score = model.score(np.array([statistics(t) for t in b.column(at).to_pylist()]))
-                yield b.filter(pa.array(score >= threshold))
+    # Only the text goes to the Python workers and only the score comes back.
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts]))) if len(texts) else pd.Series([], dtype=float)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
 
 
 def op7_quality(spark, sf_dir):

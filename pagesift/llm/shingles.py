@@ -6,7 +6,7 @@ import numpy as np
 
 U = np.uint64
 #: A worker's cache of word hashes is emptied at this size.
-MOST_WORDS = 500_000
+MOST_WORDS = 100_000
 _WORDS: dict[bytes, int] = {}
 
 
