@@ -2,7 +2,7 @@
 
 A vector is approximated by the sum of one word from each of ``BOOKS`` codebooks, all of full dimension.
 Codebooks are fitted on a bounded sample: first by k-means on what the earlier books leave over, then by
-least squares on the codes that beam search finds. Every vector is encoded by beam search; its code and squared
+least squares on the codes that beam search finds, one book after the other with the others held fixed. Every vector is encoded by beam search; its code and squared
 norm are stored. A query's products with all words form a table; the sum of ``BOOKS`` look-ups is a
 candidate's approximate product (its distance, with the stored norm). The ``RERANK`` best are scored again
 on the original vectors in double precision.
@@ -33,7 +33,7 @@ class AdditiveQuantizer:
         self.beam, self.seed = beam, seed
         self.books = np.zeros((books, words, dim), np.float32)
 
-    def fit(self, x: np.ndarray, rounds: int = 2, steps: int = 6) -> AdditiveQuantizer:
+    def fit(self, x: np.ndarray, rounds: int = 2, steps: int = 6, sweeps: int = 4) -> AdditiveQuantizer:
         x = np.asarray(x, np.float32)
         m, k, d = self.books.shape
         rng, rest = np.random.default_rng(self.seed), x.copy()
@@ -49,15 +49,16 @@ class AdditiveQuantizer:
             self.books[b] = words
             rest -= words[near]
         for _ in range(rounds if len(x) else 0):
-            codes = self.encode(x).astype(np.int64) + np.arange(m) * k
-            gram, right = np.zeros((m * k, m * k), np.float32), np.zeros((m * k, d), np.float32)
-            for i in range(m):
-                np.add.at(right, codes[:, i], x)
-                for j in range(m):
-                    np.add.at(gram, (codes[:, i], codes[:, j]), 1)
-            gram[np.diag_indices(m * k)] += 0.1
-            right += 0.1 * self.books.reshape(m * k, d)
-            self.books = np.linalg.solve(gram, right).reshape(m, k, d).astype(np.float32)
+            codes = self.encode(x)
+            rest = x - sum(self.books[b][codes[:, b]] for b in range(m))
+            for b in [*range(m)] * sweeps:
+                own, code = self.books[b], codes[:, b]
+                rest += own[code]
+                sums = np.zeros((k, d), np.float32)
+                np.add.at(sums, code, rest)
+                # A word that few vectors use stays near where it was.
+                self.books[b] = (sums + 0.1 * own) / (np.bincount(code, minlength=k) + 0.1)[:, None]
+                rest -= self.books[b][code]
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
