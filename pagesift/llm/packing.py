@@ -8,8 +8,6 @@ still takes them; a segment tree over the rooms 0..length finds that row in O(lo
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,8 +119,8 @@ def pack(df: DataFrame, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS,
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
                 encoded = enc.batch([t or "" for t in b.column(1).to_pylist()])
-                for doc, (chunks, _) in zip(b.column(0).to_pylist(), encoded, strict=True):
-                    ids = np.fromiter(chain.from_iterable(c[2] for c in chunks), "<u2")
+                for doc, (found, _) in zip(b.column(0).to_pylist(), encoded, strict=True):
+                    ids = np.frombuffer(found, "<i4").astype("<u2")
                     pieces += [(doc, s, ids[s : s + length]) for s in range(0, max(1, len(ids)), length)]
                     held += len(ids)
                     if held >= block_tokens:

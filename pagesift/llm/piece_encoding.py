@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,8 +23,10 @@ from .common import table
 
 MARK = "▁"
 #: Entries of a worker's cache, and the most characters of a chunk that enters it.
-CACHED, LONGEST = 300_000, 32
+CACHED, LONGEST = 600_000, 32
 NONE = np.int32(2**31 - 1)
+#: Chunks that are checked as the lines of one text.
+LINES = 64
 
 
 def default_model() -> str:
@@ -34,6 +35,15 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def packed(ids) -> bytes:
+    """Ids as 32-bit integers: caches of bytes are small and nothing for the garbage collector to walk through."""
+    return np.asarray(ids, "<i4").tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<i4").tolist()
+
+
 class PairTable:
     """(rank, id) of the concatenation of two symbols, by open addressing, for arrays of symbols at once."""
 
@@ -88,15 +98,16 @@ class AgendaEncoder:
             if len(p) == 1:
                 self.of_char[ord(p)] = i
         self.names = [str(i) for i in range(lib.get_piece_size())]
-        self.numbers = list(range(lib.get_piece_size()))  # one object per id, whatever the cache holds
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("the vocabulary merges across words or lines")
         self.bytes = [lib.piece_to_id(f"<0x{i:02X}>") for i in range(256)]
-        self.lead = lib.encode("\n")
-        #: Chunks by their text after the mark, and those without a mark.
-        self.marked: dict[str, tuple] = {}
-        self.bare: dict[str, tuple] = {}
-        self.unchecked: list[tuple[str, tuple]] = []
+        #: What the library makes of a line feed at the beginning, and elsewhere.
+        self.lead = packed(lib.encode("\n"))
+        self.feed = self.lead[-4:]
+        #: Packed ids of chunks by their text after the mark, and of those without a mark.
+        self.marked: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.unchecked: list[tuple[str, bytes]] = []
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of one chunk. An entry of the agenda is a number, rank * 2**32 + place; ``now`` has the
@@ -137,7 +148,10 @@ class AgendaEncoder:
 
     def merge_all(self, chunks: list[str]) -> list[list[int]]:
         """The ids of many short chunks."""
-        out: list[list[int] | None] = [None] * len(chunks)
+        return [unpacked(ids) for ids in self.merge_packed(chunks)]
+
+    def merge_packed(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(chunks)
         lengths = np.array([len(c) for c in chunks], np.int64)
         low = 0
         for high in (8, 14, LONGEST + 1):
@@ -145,7 +159,7 @@ class AgendaEncoder:
             low = high
             if len(here):
                 self._merge_rows([chunks[i] for i in here], lengths[here], here.tolist(), out, high)
-        return [self.merge(c) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
+        return [packed(self.merge(c)) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
 
     def _merge_rows(self, chunks: list[str], lengths: np.ndarray, places: list[int], out: list, width: int) -> None:
         pairs = self.pairs
@@ -159,8 +173,11 @@ class AgendaEncoder:
         columns = np.arange(width + 1)
 
         def finish(done_rows, done_symbols):
-            for r, line in zip(done_rows.tolist(), done_symbols.tolist(), strict=True):
-                out[places[r]] = line[: line.index(-2)]
+            held = done_symbols >= 0
+            every, start = packed(done_symbols[held]), 0
+            for r, end in zip(done_rows.tolist(), (4 * held.sum(1).cumsum()).tolist(), strict=True):
+                out[places[r]] = every[start:end]
+                start = end
 
         while len(rows):
             at = ranks.argmin(1)
@@ -186,81 +203,77 @@ class AgendaEncoder:
                 keep = left >= 0
                 ranks[every[keep], left[keep]] = rank[keep]
 
-    def _entry(self, chunk: str, ids: list[int]) -> tuple:
-        names, numbers = self.names, self.numbers
-        found = (len(ids), ",".join([names[i] for i in ids]), [numbers[i] for i in ids])
+    def _new(self, cache: dict, key: str, chunk: str) -> bytes:
+        found = packed(self.merge(chunk))
         self.unchecked.append((chunk, found))
-        return found
-
-    def _new(self, cache: dict, key: str, chunk: str) -> tuple:
-        found = self._entry(chunk, self.merge(chunk))
         if len(key) <= LONGEST:
             cache[key] = found
         return found
 
-    def learn(self, texts: list[str]) -> None:
+    @staticmethod
+    def lines(text: str) -> list[tuple[str, list[str]]]:
+        """Of each line what stands before its first mark, and what follows each mark; none for an empty text."""
+        split = [line.split(" ") for line in f" {text.replace(MARK, ' ')}".split("\n")] if text else []
+        return [(words[0], words[1:]) for words in split]
+
+    def learn(self, texts: list[list[tuple[str, list[str]]]]) -> None:
         """Puts the texts' new short chunks into the caches."""
         for cache in (self.marked, self.bare):
             if len(cache) > CACHED:
                 cache.clear()
         marked: set[str] = set()
         bare: set[str] = set()
-        for t in texts:
-            for line in f" {t}".split("\n"):
-                first, *rest = line.split(" ")
+        for lines in texts:
+            for first, rest in lines:
                 bare.add(first)
                 marked.update(rest)
         for cache, words, mark in ((self.marked, marked, MARK), (self.bare, bare, "")):
-            new = [w for w in words if w and len(w) <= LONGEST and w not in cache and MARK not in w and " " not in w]
-            for w, ids in zip(new, self.merge_all([mark + w for w in new]), strict=True):
-                cache[w] = self._entry(mark + w, ids)
-
-    def chunks(self, text: str) -> list[tuple]:
-        """(number of ids, ids as text, ids) of each chunk in turn; none for an empty text."""
-        if not text:
-            return []
+            new = [w for w in words.difference(cache) if w and len(w) <= LONGEST]
+            whole = [mark + w for w in new]
+            ids = self.merge_packed(whole)
+            cache.update(zip(new, ids, strict=True))
+            self.unchecked += zip(whole, ids, strict=True)
+
+    def chunks(self, lines: list[tuple[str, list[str]]]) -> list[bytes]:
+        """The packed ids of each chunk of a text in turn."""
         out, marked, bare = [], self.marked, self.bare
-        for i, line in enumerate((MARK + text.replace(" ", MARK)).split("\n")):
+        for i, (first, rest) in enumerate(lines):
             if i:
-                out.append((1, str(self.lead[-1]), self.lead[-1:]))
-            if MARK + MARK in line:
-                for c in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", line):
+                out.append(self.feed)
+            if "" in rest:  # marks in a row, or at the end
+                for c in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK.join([first, *rest])):
                     cache, key = (marked, c[1:]) if c[0] == MARK else (bare, c)
                     out.append(cache.get(key) or self._new(cache, key, c))
                 continue
-            first, *rest = line.split(MARK)
             if first:
                 out.append(bare.get(first) or self._new(bare, first, first))
-            for w in rest:
-                out.append(marked.get(w) or self._new(marked, w, MARK + w))
+            found = list(map(marked.get, rest))
+            if None in found:
+                found = [marked.get(w) or self._new(marked, w, MARK + w) for w in rest]
+            out += found
         return out
 
     def check(self) -> bool:
         """Compares all new chunks with the library, in one call; True if all agree. Caches with others are emptied."""
         new, self.unchecked = self.unchecked, []
-        skip = len(self.lead)
-        theirs = self.library.encode(["\n" + c for c, _ in new], num_threads=1)
-        if all(t[skip:] == found[2] for (_, found), t in zip(new, theirs, strict=True)):
+        lines = [new[i : i + LINES] for i in range(0, len(new), LINES)]
+        theirs = self.library.encode(["\n" + "\n".join([c for c, _ in some]) for some in lines], num_threads=1)
+        if all(packed(t) == self.lead + self.feed.join([ids for _, ids in some]) for some, t in zip(lines, theirs, strict=True)):
             return True
         self.marked.clear()
         self.bare.clear()
         return False
 
-    def batch(self, texts: list[str]) -> list[tuple[list[tuple], int]]:
-        """For each text its chunks, checked, and 1 if the library's ids had to be taken for it."""
-        self.learn(texts)
-        out = [(self.chunks(t), 0) for t in texts]
+    def batch(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """For each text its packed ids, checked, and 1 if the library's ids had to be taken for it."""
+        split = [self.lines(t) for t in texts]
+        self.learn(split)
+        out = [(b"".join(self.chunks(lines)), 0) for lines in split]
         if not self.check():
-            out = [(self.library_chunks(t), 1) if self._differs(c, t) else (c, 0) for (c, _), t in zip(out, texts, strict=True)]
+            theirs = [packed(self.library.encode(t)) for t in texts]
+            out = [(b, int(a != b)) for (a, _), b in zip(out, theirs, strict=True)]
         return out
 
-    def _differs(self, chunks: list[tuple], text: str) -> bool:
-        return list(chain.from_iterable(c[2] for c in chunks)) != self.library.encode(text)
-
-    def library_chunks(self, text: str) -> list[tuple]:
-        ids = self.library.encode(text)
-        return [(len(ids), ",".join(map(str, ids)), ids)] if ids else []
-
 
 _ENCODERS: dict[str, AgendaEncoder] = {}
 
@@ -288,16 +301,16 @@ def encode(df: DataFrame, model_file: str | None = None, id_col: str = "doc_id",
         import pyarrow as pa
 
         enc = encoder(model_file)
-        decode = enc.library.decode
+        decode, name = enc.library.decode, enc.names.__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 cols: list[list] = [[], [], []]
-                for chunks, repaired in enc.batch([t or "" for t in b.column(1).to_pylist()]):
-                    ids = list(chain.from_iterable(c[2] for c in chunks))
+                for found, repaired in enc.batch([t or "" for t in b.column(1).to_pylist()]):
+                    ids = unpacked(found)
                     text = decode(ids) if ids else ""
-                    row = (len(ids), sha(",".join(c[1] for c in chunks)), sha(text)) if digest else (ids, text, repaired)
+                    row = (len(ids), sha(",".join(map(name, ids))), sha(text)) if digest else (ids, text, repaired)
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
                 types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string(), pa.int64()]
