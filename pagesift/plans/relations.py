@@ -333,7 +333,7 @@ def transitions(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 
     e = read(spark, sf_dir, "events").select("user_id", F.lead("user_id").over(Window.orderBy("ts", "event_id")).alias("dst"))
-    return e.where("dst IS NOT NULL AND user_id <> dst AND (user_id * 31 + dst) % 40 = 0").select(F.col("user_id").alias("src"), "dst").distinct()
+    return e.where("dst IS NOT NULL AND user_id <> dst").select(F.col("user_id").alias("src"), "dst").distinct()
 
 
 EDGES = """
@@ -379,8 +379,8 @@ r AS (
 SELECT node, round(rank * n, 3) AS rank FROM r, n WHERE k = 25"""
 )
 def graph_pagerank(spark, sf_dir):
-    """25 rounds, so that SQL can state the same ones; ``pagerank`` itself goes on until the ranks settle."""
+    """Rounds go on until the ranks settle."""
     from pagesift.sources.scratch import cut
 
     e = cut(transitions(spark, sf_dir))
-    return G.pagerank(nodes_of(e), e, rounds=25, settled=0.0).select("node", F.round("rank", 3).alias("rank"))
+    return G.pagerank(nodes_of(e), e).select("node", F.round("rank", 3).alias("rank"))
