@@ -151,7 +151,7 @@ SELECT page, id FROM refs WHERE split_part(id, '#', 1) IN (SELECT href FROM page
 )
 def jsonld_reference_broken(spark, sf_dir):
     s = lambda c: F.col(c).cast("string")
-    refs = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("c"), s("o_custkey")).alias("page"), F.concat(F.lit("s"), (F.col("o_orderkey") % 90).cast("string"), F.lit("#"), (F.col("o_orderkey") % 7).cast("string")).alias("id"))
+    refs = read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), s("o_custkey")).alias("page"), F.concat(F.lit("s"), (F.col("o_orderkey") % 90).cast("string"), F.lit("#"), (F.col("o_orderkey") % 7).cast("string")).alias("id"))
     sup = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), s("s_suppkey")).alias("href"), F.concat(F.lit("s"), s("s_suppkey"), F.lit("#"), (F.col("s_suppkey") % 3).cast("string")).alias("id"))
     return K.dangling_references(refs, sup, sup)
 
@@ -321,7 +321,7 @@ SELECT event_id, span FROM events e JOIN i ON e.user_id = i.user_id AND e.ts >=
 )
 def interval_join(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    spans = events.where("event_id % 10 = 0").select(F.col("event_id").alias("span"), "user_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("b"))
+    spans = events.select(F.col("event_id").alias("span"), "user_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("b"))
     return J.within(events.select("event_id", "user_id", "ts"), spans, ["user_id"], "ts", "a", "b").select("event_id", "span")
 
 

@@ -1,6 +1,7 @@
 """Queries on all of their rows, against brute force."""
 
 from collections import defaultdict
+from datetime import timedelta
 
 import pyarrow.parquet as pq
 import pytest
@@ -56,3 +57,19 @@ def test_graph_ranks_settle(spark, out):
             break
     got = {r.node: r["rank"] for r in relations.graph_pagerank(spark, DATA).collect()}
     assert got == pytest.approx({n: r * len(nodes) for n, r in rank.items()}, abs=6e-4)
+
+
+def test_every_order_is_a_reference(spark):
+    orders = pq.read_table(f"{DATA}/orders.parquet", columns=["o_orderkey", "o_custkey"]).to_pylist()
+    keys = {r["s_suppkey"] for r in pq.read_table(f"{DATA}/supplier.parquet", columns=["s_suppkey"]).to_pylist()}
+    refs = [(f"c{o['o_custkey']}", o["o_orderkey"] % 90, o["o_orderkey"] % 7) for o in orders]
+    want = sorted((page, f"s{k}#{n}") for page, k, n in refs if k in keys and n != k % 3)
+    assert sorted((r.page, r.id) for r in relations.jsonld_reference_broken(spark, DATA).collect()) == want
+
+
+def test_every_event_is_an_interval(spark, events):
+    by_user = defaultdict(list)
+    for r in events:
+        by_user[r["user_id"]].append(r)
+    want = sorted((r["event_id"], s["event_id"]) for of in by_user.values() for r in of for s in of if s["ts"] <= r["ts"] < s["ts"] + timedelta(hours=2))
+    assert sorted((r.event_id, r.span) for r in relations.interval_join(spark, DATA).collect()) == want
