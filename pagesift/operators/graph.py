@@ -23,17 +23,23 @@ def degrees(nodes: DataFrame, e: DataFrame) -> DataFrame:
     return joined.select("node", F.coalesce("i", F.lit(0)).alias("in_degree"), F.coalesce("o", F.lit(0)).alias("out_degree"))
 
 
-def depths(e: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, depth): fewest links from a seed; nodes that no path reaches are left out. One round per level."""
+#: So many levels of ``depths`` are united before they are written as one.
+UNITED = 50
+
+
+def depths(e: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, depth): fewest links from a seed; nodes that no path reaches are left out. One round per level, until no new node is met."""
     reached = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = reached, 0
-    while depth < most:
+    while True:
         depth += 1
         new = frontier.join(e, frontier.node == e.src).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier = cut(new)
         if not frontier.limit(1).count():
             break
         reached = reached.unionByName(frontier)
+        if depth % UNITED == 0:
+            reached = cut(reached)
     return reached
 
 

@@ -13,7 +13,7 @@ ALLOWED, LIMIT = 10, 30
 
 def spf_terms(records: DataFrame) -> DataFrame:
     """(name, position, qualifier, term, target): the terms of each record up to and with ``all``."""
-    words = F.filter(F.slice(F.split(F.trim("record"), r"\s+"), 2, 500), lambda w: w != "")
+    words = F.filter(F.split(F.trim("record"), r"\s+"), lambda w, i: (i > 0) & (w != ""))
     rows = records.where(F.lower("record").rlike(r"^v=spf1(\s|$)")).select("name", F.posexplode(words).alias("position", "word"))
     plain = F.regexp_replace(F.lower("word"), r"^[+?~-]", "")
     term = F.regexp_extract(plain, r"^[a-z0-9]+", 0)

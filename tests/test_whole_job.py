@@ -2,10 +2,14 @@
 
 from collections import defaultdict
 from datetime import timedelta
+from unittest.mock import MagicMock
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from pagesift.functions import headers
+from pagesift.operators import graph, mail
 from pagesift.plans import relations
 
 DATA = "/root/testdata/sf0.001"
@@ -73,3 +77,37 @@ def test_every_event_is_an_interval(spark, events):
         by_user[r["user_id"]].append(r)
     want = sorted((r["event_id"], s["event_id"]) for of in by_user.values() for r in of for s in of if s["ts"] <= r["ts"] < s["ts"] + timedelta(hours=2))
     assert sorted((r.event_id, r.span) for r in relations.interval_join(spark, DATA).collect()) == want
+
+
+def test_depths_has_no_last_level(spark, monkeypatch):
+    """1,200 levels, of frames that hold nothing: only the rounds are counted."""
+    rounds = iter([*[1] * 1200, 0])
+    frame = MagicMock()
+    for verb in ("select", "distinct", "join", "withColumn", "unionByName", "limit"):
+        getattr(frame, verb).return_value = frame
+    frame.count.side_effect = lambda: next(rounds)
+    monkeypatch.setattr(graph, "cut", lambda df: df)
+    graph.depths(frame, frame)
+    assert next(rounds, None) is None
+
+
+def test_depths_of_a_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(7, 0)], "src int, dst int")
+    seed = e.where("src = 0").select(F.col("src").alias("node"))
+    assert {r.node: r.depth for r in graph.depths(e, seed).collect()} == {i: i for i in range(8)}
+
+
+def test_long_spf_record(spark):
+    records = spark.createDataFrame([("d", "v=spf1 " + "ip4:192.0.2.1 " * 600 + "a mx -all")], "name string, record string")
+    assert mail.spf_walk(spark.createDataFrame([("d",)], "domain string"), records).collect() == [("d", 2, True)]
+
+
+def test_long_content_policy(spark):
+    policy = "img-src " + " ".join(f"h{i}" for i in range(1200))
+    row = spark.createDataFrame([(policy,)], "h string").select(F.size(headers.content_policy(F.col("h"))["img-src"]).alias("n")).first()
+    assert row.n == 1200
+
+
+def test_many_content_policies(spark):
+    limits = spark.range(1).select(F.expr("concat(array_repeat(map('img-src', array('a', 'b')), 1100), array(map('img-src', array('b'))))").alias("p"))
+    assert limits.select(headers.effective_sources(F.col("p"), "img-src").alias("s")).first().s == ["b"]
