@@ -1,0 +1,12 @@
+"""What was lost at the edges of the training-data operators."""
+
+from pagesift.llm import secrets
+
+
+def test_end_of_a_secret_is_reported(spark):
+    line = "password=Secret1!xyz9"
+    base = secrets.base_spans(line)
+    assert base and base[0][1] < len(line)
+    (row,) = secrets.scan(spark.createDataFrame([(1, line)], "doc_id long, text string")).collect()
+    assert {i for s in row.secrets for i in range(s.start, s.end)} >= set(range(len("password="), len(line)))
+    assert [tuple(s) for s in base] == [(s.start, s.end, s.kind) for s in row.secrets if s.kind != "crf"]
