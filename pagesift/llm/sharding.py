@@ -102,8 +102,15 @@ class ShardStore:
         return [Shard(f"{folder}/{s.path}", s.bytes) for s in self._files(f"{self.root}/{folder}", ".parquet")]
 
     def append(self, df: DataFrame) -> int:
-        """Adds rows as small shards, in the partitions that ``df`` has; returns the new version."""
+        """Adds rows as small shards, in the partitions that ``df`` has; returns the new version. Columns of other names or types than the store's are an error."""
+        from pyspark.sql.types import StructType
+
         now = self.manifest()
+        if now["schema"]:
+            held = StructType.fromJson(json.loads(now["schema"]))
+            columns = lambda schema: sorted((f.name, f.dataType.simpleString()) for f in schema)
+            if columns(held) != columns(df.schema):
+                raise ValueError(f"the store has {held.simpleString()}, the arrival {df.schema.simpleString()}")
         return self._commit(now["version"], now["schema"] or df.schema.json(), self.shards(now["version"]) + self._written(df))
 
     def read(self, version: int | None = None, only: list[Shard] | None = None) -> DataFrame:
@@ -168,7 +175,7 @@ def shard_arrivals(arrivals: list[DataFrame], root: str, **options) -> ShardStor
     """Appends each arrival, compacts, and returns the store.
 
     Rows are stored as they are: nulls, repeated rows and any columns are kept. Later arrivals must have the
-    first one's columns. An empty arrival adds no rows.
+    first one's columns, or an error is raised. An empty arrival adds no rows.
     """
     store = ShardStore(arrivals[0].sparkSession, root, **options)
     for df in arrivals:
