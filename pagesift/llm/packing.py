@@ -83,10 +83,14 @@ def pack(df: DataFrame, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS,
     Null and empty texts take an empty segment, so that every document occurs. Repeated rows are packed
     each; ids may be null or repeat. Other columns are not read. An empty table gives an empty result.
     """
+    import sentencepiece
+
     model_file = model_file or default_model()
     kind = dict(df.dtypes)[id_col]
     if length > 65535:
         raise ValueError("positions are 16 bits wide")
+    if sentencepiece.SentencePieceProcessor(model_file=model_file).get_piece_size() > 65536:
+        raise ValueError("ids are 16 bits wide")
     schema = f"block long, row int, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<{kind}>, starts array<int>"
 
     def run(batches):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagesift.llm import secrets, sharding
+from pagesift.llm import packing, secrets, sharding
 
 
 def test_end_of_a_secret_is_reported(spark):
@@ -22,3 +22,14 @@ def test_arrival_with_other_columns_is_refused(spark, tmp_path, later):
         store.append(spark.createDataFrame([], later))
     store.append(spark.createDataFrame([("b", 2)], "text string, doc_id long"))
     assert sorted(map(tuple, store.read().collect())) == [(1, "a"), (2, "b")]
+
+
+def test_packing_refuses_wide_ids(spark, monkeypatch):
+    import sentencepiece
+
+    df = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "get_piece_size", lambda self: 65536)
+    packing.pack(df)
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "get_piece_size", lambda self: 65537)
+    with pytest.raises(ValueError):
+        packing.pack(df)
