@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of an Arrow batch on its way to a Python worker, where the session allows more.
+BATCH_BYTES = 2 << 20
 #: One word, for every operator that counts or shingles words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,3 +45,27 @@ def empty_text(text: str) -> Column:
 
 def word_count(text: str) -> Column:
     return F.regexp_count(empty_text(text), F.lit(WORD)).cast("long")
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's limit for the bytes of an Arrow batch lowered, so that long texts can't fill a worker's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name).rstrip("Bb")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in bounded batches. A task that ends gives its free memory back, as workers live on."""
+
+    def bounded(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return bounded_batches(df).mapInArrow(bounded, schema)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import in_arrow, stored, table
 
 BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that codebooks are fitted on, at most: those with the smallest hashes.
@@ -144,7 +144,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             codes = quantizer.encode(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((x * x).sum(1))], ["cls", "code", "norm"])
 
-    coded = classes.select("cls", "vector").mapInArrow(encode, "cls string, code binary, norm double")
+    coded = in_arrow(classes.select("cls", "vector"), encode, "cls string, code binary, norm double")
     queries = df.where(usable(vector_col) & is_query & (F.size(vector_col) == dim)).select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("query_id IS NOT NULL")
     asked = stored(queries.join(classes.select("cls", "vector"), "vector").select("query_id", "cls").distinct(), "asked")
     wanted = stored(classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "vector"), "wanted")
@@ -173,7 +173,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
                     rows = np.repeat(np.arange(a, a + len(s)), m)
                     yield pa.RecordBatch.from_arrays([ask.take(pa.array(rows)), names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, 1).ravel().astype(float))], ["ask", "cls", "rough"])
 
-    rough = asks.join(codes, "qb").select("asks", "codes").mapInArrow(score, "ask string, cls string, rough double")
+    rough = in_arrow(asks.join(codes, "qb").select("asks", "codes"), score, "ask string, cls string, rough double")
     if code_blocks > 1:
         rough = rough.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("rough"), "cls"))).where(F.col("r") <= rerank)
     exact = rough.select("ask", "cls").join(classes, "cls").join(wanted.select(F.col("cls").alias("ask"), F.col("vector").alias("q")), "ask")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 RULES = ("first", "last", "most")
 
@@ -116,7 +116,7 @@ def token_counts(df: DataFrame, rule: str = "most", sections: Callable[[str], li
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, section int, start long, end long, n_tokens long, n_crossing long")
+    return in_arrow(df.select(id_col, F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, section int, start long, end long, n_tokens long, n_crossing long")
 
 
 def op6_token_counts(spark, sf_dir):
