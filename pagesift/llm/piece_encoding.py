@@ -5,8 +5,8 @@ the best score, the leftmost first among equals. No piece holds a space mark aft
 line feed, so a text falls into chunks that encode independently; each worker keeps the encodings of short
 chunks in a bounded cache. The new short chunks of a batch are merged together: their agendas are the
 rows of one matrix, with a pair's rank at its place, and each step takes every row's best pair. A long
-chunk has a heap for its agenda. Every chunk that enters the cache is checked against the sentencepiece library, a whole Arrow batch at a time; where they differ,
-the library's ids are taken for the text and n_repaired is 1.
+chunk has a heap for its agenda. Every new chunk is checked against the sentencepiece library, a whole
+slice of an Arrow batch at a time; where they differ, the library's ids are taken for the text and n_repaired is 1.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 MARK = "▁"
-#: Entries of a worker's cache, and the most characters of a chunk that enters it.
-CACHED, LONGEST = 600_000, 32
+#: The most characters of a chunk that enters a worker's cache.
+LONGEST = 32
+#: A worker's cache is emptied at this many bytes; an entry takes what its key and ids do and this much besides.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 NONE = np.int32(2**31 - 1)
 #: Chunks that are checked as the lines of one text.
 LINES = 64
@@ -72,19 +74,123 @@ class PairTable:
             at = np.where(on, (at + 1) & ((1 << self.bits) - 1), at)
 
 
-class AgendaEncoder:
+class ChunkEncoder:
+    """Encodes texts chunk by chunk, with a cache of short chunks. Here the library encodes new chunks, many as the lines of one text."""
+
     def __init__(self, model_file: str):
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.ids, scores = {}, {}
+        self.ids, self.scores = {}, {}
         for i in range(lib.get_piece_size()):
             if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i)):
                 self.ids[p := lib.id_to_piece(i)] = i
-                scores[p] = lib.get_score(i)
+                self.scores[p] = lib.get_score(i)
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+            raise ValueError("the vocabulary merges across words or lines")
+        if lib.encode("a  b") != lib.encode("a" + MARK + MARK + "b") or lib.encode(" a") == lib.encode("a") or lib.encode("\n a") != lib.encode("\n" + MARK + "a"):
+            raise ValueError("the model's normaliser drops spaces or adds no mark at the beginning")
+        self.names = [str(i) for i in range(lib.get_piece_size())]
+        #: What the library makes of a line feed at the beginning, and elsewhere.
+        self.lead = packed(lib.encode("\n"))
+        self.feed = self.lead[-4:]
+        #: Packed ids of chunks by their text after the mark, and of those without a mark.
+        self.marked: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.cached = 0
+        self.unchecked: list[tuple[str, bytes]] = []
+
+    def merge(self, chunk: str) -> list[int]:
+        return unpacked(self.merge_packed([chunk])[0])
+
+    def merge_packed(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(chunks), LINES):
+            some = chunks[i : i + LINES]
+            whole = packed(self.library.encode("\n" + "\n".join(some)))[len(self.lead) :]
+            ends = (4 * np.flatnonzero(np.frombuffer(whole, "<i4") == np.frombuffer(self.feed, "<i4"))).tolist()
+            out += [whole[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(whole)], strict=True)]
+        return out
+
+    def check(self) -> bool:
+        self.unchecked = []
+        return True
+
+    def _new(self, cache: dict, key: str, chunk: str) -> bytes:
+        found = packed(self.merge(chunk))
+        self.unchecked.append((chunk, found))
+        if len(key) <= LONGEST:
+            cache[key] = found
+            self.cached += ENTRY_BYTES + len(key) + len(found)
+        return found
+
+    def _empty(self) -> None:
+        self.marked.clear()
+        self.bare.clear()
+        self.cached = 0
+
+    @staticmethod
+    def lines(text: str) -> list[tuple[str, list[str]]]:
+        """Of each line what stands before its first mark, and what follows each mark; none for an empty text."""
+        split = [line.split(" ") for line in f" {text.replace(MARK, ' ')}".split("\n")] if text else []
+        return [(words[0], words[1:]) for words in split]
+
+    def learn(self, texts: list[list[tuple[str, list[str]]]]) -> None:
+        """Puts the texts' new short chunks into the caches, emptied before if they are full."""
+        if self.cached > CACHE_BYTES:
+            self._empty()
+        marked: set[str] = set()
+        bare: set[str] = set()
+        for lines in texts:
+            for first, rest in lines:
+                bare.add(first)
+                marked.update(rest)
+        for cache, words, mark in ((self.marked, marked, MARK), (self.bare, bare, "")):
+            new = [w for w in words.difference(cache) if w and len(w) <= LONGEST]
+            whole = [mark + w for w in new]
+            ids = self.merge_packed(whole)
+            cache.update(zip(new, ids, strict=True))
+            self.cached += sum(ENTRY_BYTES + len(w) + len(i) for w, i in zip(new, ids, strict=True))
+            self.unchecked += zip(whole, ids, strict=True)
+
+    def chunks(self, lines: list[tuple[str, list[str]]]) -> list[bytes]:
+        """The packed ids of each chunk of a text in turn."""
+        out, marked, bare = [], self.marked, self.bare
+        for i, (first, rest) in enumerate(lines):
+            if i:
+                out.append(self.feed)
+            if "" in rest:  # marks in a row, or at the end
+                for c in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK.join([first, *rest])):
+                    cache, key = (marked, c[1:]) if c[0] == MARK else (bare, c)
+                    out.append(cache.get(key) or self._new(cache, key, c))
+                continue
+            if first:
+                out.append(bare.get(first) or self._new(bare, first, first))
+            found = list(map(marked.get, rest))
+            if None in found:
+                found = [marked.get(w) or self._new(marked, w, MARK + w) for w in rest]
+            out += found
+        return out
+
+    def batch(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """For each text its packed ids, checked, and 1 if the library's ids had to be taken for it."""
+        split = [self.lines(t) for t in texts]
+        self.learn(split)
+        out = [(b"".join(self.chunks(lines)), 0) for lines in split]
+        if not self.check():
+            theirs = [packed(self.library.encode(t)) for t in texts]
+            out = [(b, int(a != b)) for (a, _), b in zip(out, theirs, strict=True)]
+        return out
+
+
+class AgendaEncoder(ChunkEncoder):
+    """New chunks are merged here, by agendas, and checked against the library."""
+
+    def __init__(self, model_file: str):
+        super().__init__(model_file)
         #: Of pieces, 0 for the best score; equal scores have equal ranks.
-        order = {score: r for r, score in enumerate(sorted(set(scores.values()), reverse=True))}
-        self.ranks = {p: order[score] for p, score in scores.items()}
+        order = {score: r for r, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.ranks = {p: order[score] for p, score in self.scores.items()}
         pairs = {}
         for p, i in self.ids.items():
             for k in range(1, len(p)):
@@ -97,17 +203,7 @@ class AgendaEncoder:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
-        self.names = [str(i) for i in range(lib.get_piece_size())]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
-            raise ValueError("the vocabulary merges across words or lines")
-        self.bytes = [lib.piece_to_id(f"<0x{i:02X}>") for i in range(256)]
-        #: What the library makes of a line feed at the beginning, and elsewhere.
-        self.lead = packed(lib.encode("\n"))
-        self.feed = self.lead[-4:]
-        #: Packed ids of chunks by their text after the mark, and of those without a mark.
-        self.marked: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.unchecked: list[tuple[str, bytes]] = []
+        self.bytes = [self.library.piece_to_id(f"<0x{i:02X}>") for i in range(256)]
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of one chunk. An entry of the agenda is a number, rank * 2**32 + place; ``now`` has the
@@ -203,56 +299,6 @@ class AgendaEncoder:
                 keep = left >= 0
                 ranks[every[keep], left[keep]] = rank[keep]
 
-    def _new(self, cache: dict, key: str, chunk: str) -> bytes:
-        found = packed(self.merge(chunk))
-        self.unchecked.append((chunk, found))
-        if len(key) <= LONGEST:
-            cache[key] = found
-        return found
-
-    @staticmethod
-    def lines(text: str) -> list[tuple[str, list[str]]]:
-        """Of each line what stands before its first mark, and what follows each mark; none for an empty text."""
-        split = [line.split(" ") for line in f" {text.replace(MARK, ' ')}".split("\n")] if text else []
-        return [(words[0], words[1:]) for words in split]
-
-    def learn(self, texts: list[list[tuple[str, list[str]]]]) -> None:
-        """Puts the texts' new short chunks into the caches."""
-        for cache in (self.marked, self.bare):
-            if len(cache) > CACHED:
-                cache.clear()
-        marked: set[str] = set()
-        bare: set[str] = set()
-        for lines in texts:
-            for first, rest in lines:
-                bare.add(first)
-                marked.update(rest)
-        for cache, words, mark in ((self.marked, marked, MARK), (self.bare, bare, "")):
-            new = [w for w in words.difference(cache) if w and len(w) <= LONGEST]
-            whole = [mark + w for w in new]
-            ids = self.merge_packed(whole)
-            cache.update(zip(new, ids, strict=True))
-            self.unchecked += zip(whole, ids, strict=True)
-
-    def chunks(self, lines: list[tuple[str, list[str]]]) -> list[bytes]:
-        """The packed ids of each chunk of a text in turn."""
-        out, marked, bare = [], self.marked, self.bare
-        for i, (first, rest) in enumerate(lines):
-            if i:
-                out.append(self.feed)
-            if "" in rest:  # marks in a row, or at the end
-                for c in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK.join([first, *rest])):
-                    cache, key = (marked, c[1:]) if c[0] == MARK else (bare, c)
-                    out.append(cache.get(key) or self._new(cache, key, c))
-                continue
-            if first:
-                out.append(bare.get(first) or self._new(bare, first, first))
-            found = list(map(marked.get, rest))
-            if None in found:
-                found = [marked.get(w) or self._new(marked, w, MARK + w) for w in rest]
-            out += found
-        return out
-
     def check(self) -> bool:
         """Compares all new chunks with the library, in one call; True if all agree. Caches with others are emptied."""
         new, self.unchecked = self.unchecked, []
@@ -260,29 +306,18 @@ class AgendaEncoder:
         theirs = self.library.encode(["\n" + "\n".join([c for c, _ in some]) for some in lines], num_threads=1)
         if all(packed(t) == self.lead + self.feed.join([ids for _, ids in some]) for some, t in zip(lines, theirs, strict=True)):
             return True
-        self.marked.clear()
-        self.bare.clear()
+        self._empty()
         return False
 
-    def batch(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """For each text its packed ids, checked, and 1 if the library's ids had to be taken for it."""
-        split = [self.lines(t) for t in texts]
-        self.learn(split)
-        out = [(b"".join(self.chunks(lines)), 0) for lines in split]
-        if not self.check():
-            theirs = [packed(self.library.encode(t)) for t in texts]
-            out = [(b, int(a != b)) for (a, _), b in zip(out, theirs, strict=True)]
-        return out
-
 
-_ENCODERS: dict[str, AgendaEncoder] = {}
+_ENCODERS: dict[tuple[str, type], ChunkEncoder] = {}
 
 
-def encoder(model_file: str) -> AgendaEncoder:
-    """One encoder per worker process and model."""
-    if model_file not in _ENCODERS:
-        _ENCODERS[model_file] = AgendaEncoder(model_file)
-    return _ENCODERS[model_file]
+def encoder(model_file: str, kind: type = AgendaEncoder) -> ChunkEncoder:
+    """One encoder per worker process, model and kind."""
+    if (model_file, kind) not in _ENCODERS:
+        _ENCODERS[model_file, kind] = kind(model_file)
+    return _ENCODERS[model_file, kind]
 
 
 def encode(df: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -290,7 +325,7 @@ def encode(df: DataFrame, model_file: str | None = None, id_col: str = "doc_id",
 
     Ids are the library's for the whole text, without begin and end ids; decoded is the library's decode of
     them. Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated
-    results; other columns are not read. The model file must be at the same place on every worker.
+    results, and texts that repeat near each other are encoded once; other columns are not read. The model file must be at the same place on every worker.
     """
     model_file = model_file or default_model()
     kind = dict(df.dtypes)[id_col]
@@ -306,18 +341,18 @@ def encode(df: DataFrame, model_file: str | None = None, id_col: str = "doc_id",
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                cols: list[list] = [[], [], []]
-                for found, repaired in enc.batch([t or "" for t in b.column(1).to_pylist()]):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                rows = dict.fromkeys(texts)
+                for whole_text, (found, repaired) in zip(rows, enc.batch(list(rows)), strict=True):
                     ids = unpacked(found)
                     text = decode(ids) if ids else ""
-                    row = (len(ids), sha(",".join(map(name, ids))), sha(text)) if digest else (ids, text, repaired)
-                    for col, v in zip(cols, row, strict=True):
-                        col.append(v)
+                    rows[whole_text] = (len(ids), sha(",".join(map(name, ids))), sha(text)) if digest else (ids, text, repaired)
+                cols = list(zip(*(rows[t] for t in texts), strict=True)) or [[], [], []]
                 types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, [kind, *kinds], strict=True))
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return in_arrow(df.select(id_col, F.col(text_col).cast("string")), run, schema)
 
 
 def op3_sentencepiece(spark, sf_dir):
