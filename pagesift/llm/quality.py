@@ -4,7 +4,7 @@ Statistics are computed once per document in Arrow batches and stored. The class
 are sums over all labelled training rows, added up by Spark (no sample); only these few sums reach the
 driver. Each covariance is shrunk towards the pooled one and towards a multiple of the identity, and its
 Cholesky factor is cached in the model. The score is the logistic of the difference of the two classes'
-Mahalanobis log-densities plus the log prior ratio.
+Mahalanobis log-densities plus the log prior ratio, worked out as a column.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded_batches, in_arrow, stored, table
 
 THRESHOLD = 0.7
+_STATS = "__quality_stats"
 #: Shares of the pooled covariance and of the identity in a class covariance.
 TO_POOLED, TO_IDENTITY = 0.05, 0.05
 
@@ -65,7 +66,7 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), stats], [id_col, "stats"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, stats array<double>")
+    return in_arrow(df.select(id_col, F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, stats array<double>")
 
 
 @dataclass
@@ -87,6 +88,23 @@ class QuadraticDiscriminant:
         odds = self.log_density(1, z) - self.log_density(0, z) + self.prior
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
+    def score_column(self, stats: str) -> Column:
+        """``score`` as a column over the array ``stats``, with the inverses of the cached factors as numbers."""
+
+        def log_density(k: int) -> Column:
+            inverse = np.linalg.solve(self.factors[k], np.eye(len(self.center)))
+            weights, offset = inverse / self.scale, inverse @ (self.center / self.scale + self.means[k])
+            total = F.lit(-float(np.log(np.diag(self.factors[k])).sum()))
+            for i, row in enumerate(weights):
+                y = F.lit(-float(offset[i]))
+                for j in range(i + 1):
+                    y = y + F.col(stats)[j] * float(row[j])
+                total = total - y * y * 0.5
+            return total
+
+        odds = log_density(1) - log_density(0) + self.prior
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
+
 
 def class_sums(df: DataFrame, label_col: str = "quality") -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """For each label: number of rows, sum of stats, sum of their outer products. 2 * (1 + d + d * d) numbers."""
@@ -104,7 +122,7 @@ def class_sums(df: DataFrame, label_col: str = "quality") -> dict[int, tuple[flo
         flat = np.concatenate([sums[0].ravel(), sums[1].ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(flat))), pa.array(flat)], ["i", "v"])
 
-    parts = df.select(F.col(label_col).cast("int"), "stats").mapInArrow(run, "i long, v double")
+    parts = in_arrow(df.select(F.col(label_col).cast("int"), "stats"), run, "i long, v double")
     d = DIMENSIONS + 1
     total = np.zeros(2 * d * d)
     for i, v in parts.groupBy("i").agg(F.sum("v")).collect():
@@ -139,10 +157,9 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, QuadraticDiscriminant]:
-    stats = stored(document_statistics(docs.select(id_col, text_col), id_col, text_col), "statistics")
+def _fitted(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> QuadraticDiscriminant:
     wanted = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("__label"))
-    return stats, fit(class_sums(stats.where(~held_out(id_col)).join(wanted, id_col), "__label"))
+    return fit(class_sums(stats.where(~held_out(id_col)).join(wanted, id_col), "__label"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -150,32 +167,26 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Learns from labelled rows that are not held out; null labels and labels other than 0 and 1 are skipped.
     Null texts score as empty ones. A null id is never labelled nor held out. Repeated rows give repeated
-    results; an id labelled twice counts twice. Other columns of either table are not read.
+    results; an id labelled twice counts twice, and so does a labelled id that documents share. Other columns
+    of either table are not read. Class sums are floating-point sums in the order of the shuffle, so that the
+    last digits of a score may differ between runs.
     """
-    stats, model = _learned(docs, labels, id_col, text_col, label_col)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            score = model.score(np.array(b.column(1).to_pylist(), float)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], [id_col, "score"])
-
-    kind = dict(stats.dtypes)[id_col]
-    scored = stats.mapInArrow(run, f"`{id_col}` {kind}, score double")
-    return scored.select(id_col, held_out(id_col).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    stats = stored(document_statistics(docs.select(id_col, text_col), id_col, text_col), "statistics")
+    scored = stats.select(id_col, held_out(id_col).alias("held_out"), _fitted(stats, labels, id_col, label_col).score_column("stats").alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` predicted to be good. Each row is scored by itself: rows that share an id don't matter to each other."""
-    _, model = _learned(docs, labels, id_col, text_col, label_col)
+    """The rows of ``docs`` predicted to be good. Each row is scored by itself: rows that share an id don't matter
+    to each other. Rows are written once with their statistics, from which the model is fitted and scores follow."""
 
-    # Only the text goes to the Python workers and only the score comes back.
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts]))) if len(texts) else pd.Series([], dtype=float)
+    @F.pandas_udf("array<double>")
+    def counted(texts: pd.Series) -> pd.Series:  # only the text goes to the Python workers
+        return pd.Series([statistics(t) for t in texts], dtype=object)
 
-    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
+    rows = stored(bounded_batches(docs).withColumn(_STATS, counted(F.col(text_col).cast("string"))), "statistics")
+    model = _fitted(rows.select(id_col, F.col(_STATS).alias("stats")), labels, id_col, label_col)
+    return rows.where(model.score_column(_STATS) >= threshold).select(*docs.columns)
 
 
 def op7_quality(spark, sf_dir):
