@@ -62,7 +62,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     results = ("keep_id", "group_size", "kept", "text_sha256")
     keep = [c for c in df.columns if c not in results or c in (id_col, text_col)]
     rows = df.select(*keep)
-    flagged = _addressed(rows, text_col, filter_bits).join(F.broadcast(repeated_bits(rows, text_col, filter_bits)), _WORD, "left")
+    bits = stored(repeated_bits(rows, text_col, filter_bits), "filter")  # used twice, made once
+    flagged = _addressed(rows, text_col, filter_bits).join(F.broadcast(bits), _WORD, "left")
     hit = F.coalesce(F.col(_BITS).bitwiseAND(F.col(_MASK)) == F.col(_MASK), F.lit(False))
     sha = F.sha2(empty_text(text_col).cast("binary"), 256)
     unique = flagged.where(~hit).select(*keep, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import stored, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -63,7 +63,8 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "sou
         .withColumn(_CLASS, F.length(F.bin("size")))
         .withColumn(_BLOCK, F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2))
     )
-    slim = rows.groupBy(_K, _CLASS, _BLOCK).agg(F.count("*").alias(_N), F.sum("size").alias("words"))
+    # Used twice; a row for each block, so small beside the texts whose words it counts.
+    slim = stored(rows.groupBy(_K, _CLASS, _BLOCK).agg(F.count("*").alias(_N), F.sum("size").alias("words")), "blocks")
     along = Window.partitionBy(_K).orderBy(_CLASS, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         slim.withColumn(_BEFORE, F.coalesce(F.sum(_N).over(along), F.lit(0)))
@@ -91,7 +92,7 @@ def mixed(df: DataFrame, **options) -> DataFrame:
 
 
 def op8_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n"))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n")), "sizes")
     return systematic_mix(docs, size_col="n", text_col="").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
