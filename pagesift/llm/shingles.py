@@ -62,3 +62,10 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
         out *= U(0x9E3779B97F4A7C15)
         out ^= out >> U(29)
     return out.view(np.int64)
+
+
+def bitmap(shingles: np.ndarray, words: int) -> np.ndarray:
+    """A set as ``words`` 64-bit words, with the bit set that a shingle's lowest bits name."""
+    bits = np.zeros(64 * words, np.uint8)
+    bits[shingles & U(64 * words - 1)] = 1
+    return np.packbits(bits).view(np.int64)
