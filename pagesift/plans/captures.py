@@ -31,45 +31,6 @@ def query(sql: str | None = None):
     return register
 
 
-def customers(spark, sf_dir, header: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(header).alias("h"))
-
-
-CACHE = "concat('Max-Age=', c_custkey * 60, CASE c_custkey % 4 WHEN 0 THEN ', public' WHEN 1 THEN ', no-cache=\"a, b\"' WHEN 2 THEN ', no-store, max-age=1' ELSE ', s-maxage=x' END)"
-
-
-@query(
-    """SELECT c_custkey AS id, c_custkey * 60 AS max_age, c_custkey % 4 = 0 AS public, c_custkey % 4 = 1 AS no_cache, c_custkey % 4 = 2 AS no_store,
-CASE c_custkey % 4 WHEN 2 THEN 'given twice' WHEN 3 THEN 's-maxage: not a number' ELSE '' END AS errors FROM customer"""
-)
-def header_cache_control(spark, sf_dir):
-    p = customers(spark, sf_dir, CACHE).select("id", H.cache_control(F.col("h")).alias("p"))
-    return p.select("id", "p.max_age", "p.public", "p.no_cache", "p.no_store", F.array_join("p.errors", "; ").alias("errors"))
-
-
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 100 END AS max_age, c_custkey % 2 = 0 AS subdomains, c_custkey % 3 = 0 AS preload FROM customer")
-def header_hsts(spark, sf_dir):
-    made = "concat('max-age=', CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE '\"' || c_custkey * 100 || '\"' END, CASE WHEN c_custkey % 2 = 0 THEN '; includeSubDomains' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN ' ; preload' ELSE '' END)"
-    return customers(spark, sf_dir, made).select("id", H.hsts(F.col("h")).alias("p")).select("id", "p.*")
-
-
-@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'accept,accept-encoding' WHEN 1 THEN 'cookie' ELSE '' END AS vary FROM customer")
-def header_vary(spark, sf_dir):
-    made = "CASE c_custkey % 3 WHEN 0 THEN 'Accept-Encoding , accept,Accept' WHEN 1 THEN 'Cookie' ELSE ' , ' END"
-    return customers(spark, sf_dir, made).select("id", F.array_join(H.vary(F.col("h")), ",").alias("vary"))
-
-
-@query("SELECT c_custkey AS id, 'text/' || lower(c_mktsegment) AS media, CASE WHEN c_custkey % 2 = 0 THEN 'utf-8' END AS charset FROM customer")
-def header_content_type(spark, sf_dir):
-    made = "concat('Text/', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN ' ; Charset=\"UTF-8\"' ELSE '' END)"
-    return customers(spark, sf_dir, made).select("id", H.content_type(F.col("h")).alias("p")).select("id", "p.*")
-
-
-@query("SELECT c_custkey AS id, unnest(['/a/' || c_custkey, '/b,' || c_custkey]) AS href, unnest(['next', 'preload']) AS rel FROM customer")
-def header_link(spark, sf_dir):
-    made = "concat('</a/', c_custkey, '>; rel=next, </b,', c_custkey, '>; as=script; rel=\"preload\"')"
-    return customers(spark, sf_dir, made).select("id", F.explode(H.link(F.col("h"))).alias("l")).select("id", "l.*")
-
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 86400 END::BIGINT AS seconds FROM orders")
 def retry_after(spark, sf_dir):
@@ -77,24 +38,7 @@ def retry_after(spark, sf_dir):
     day = F.date_trunc("day", F.col("o_orderdate").cast("timestamp"))
     later = F.date_format(day + F.expr("INTERVAL 1 DAY"), "E, dd MMM yyyy HH:mm:ss 'GMT'")
     made = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise(later)
-    return orders.select(F.col("o_orderkey").alias("id"), H.retry_after(made, day).alias("seconds"))
-
-
-@query("SELECT c_custkey AS id, 'sid' || c_custkey AS name, c_custkey % 2 = 0 AS secure, c_custkey % 3 = 0 AS http_only, CASE WHEN c_custkey % 4 = 0 THEN 'lax' END AS same_site, '/' AS path, 'example.com' AS domain, c_custkey AS max_age FROM customer")
-def cookie_flags(spark, sf_dir):
-    made = "concat('sid', c_custkey, '=a=b', CASE WHEN c_custkey % 2 = 0 THEN '; Secure' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN ';HttpOnly' ELSE '' END, CASE WHEN c_custkey % 4 = 0 THEN '; SameSite=Lax' ELSE '' END, '; Path=/; Domain=.Example.com; Max-Age=', c_custkey)"
-    return customers(spark, sf_dir, made).select("id", H.cookie(F.col("h")).alias("p")).select("id", "p.*")
-
-
-@query(
-    """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'https://a.example' WHEN 1 THEN '''self''' ELSE '''nonce-x''' END AS script, CASE c_custkey % 3 WHEN 0 THEN 'https://a.example' WHEN 1 THEN '''self'' https://b.example' ELSE NULL END AS style FROM customer"""
-)
-def header_csp_combine(spark, sf_dir):
-    one = "CASE c_custkey % 3 WHEN 0 THEN 'default-src https://a.example https://b.example' WHEN 1 THEN 'script-src \\'self\\'; SCRIPT-SRC *; default-src \\'self\\' https://b.example' ELSE 'script-src \\'nonce-x\\' \\'unsafe-inline\\'' END"
-    two = "CASE c_custkey % 3 WHEN 0 THEN 'default-src https://a.example https://c.example' ELSE 'img-src *' END"
-    both = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array(H.content_policy(F.expr(one)), H.content_policy(F.expr(two))).alias("p"))
-    told = lambda d: F.array_join(H.effective_sources(F.col("p"), d), " ")
-    return both.select("id", told("script-src").alias("script"), told("style-src").alias("style"))
+    return orders.select(F.col("o_orderkey").alias("id"), H.retry_after(made, day)["value"]["seconds"].alias("seconds"))
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'reject' ELSE 'none' END AS p, CASE WHEN s_suppkey % 3 = 0 THEN 'quarantine' END AS sp, (s_suppkey % 100)::VARCHAR AS pct FROM supplier")

@@ -1,7 +1,7 @@
 """All queries of the site operators, and their SQL."""
 
-from . import captures, pages, relations
+from . import captures, grammars, pages, relations, sites, texts
 
-MODULES = (pages, relations, captures)
+MODULES = (pages, relations, captures, grammars, texts, sites)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
