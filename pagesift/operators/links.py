@@ -89,3 +89,59 @@ def since_last(previous: DataFrame, now: DataFrame) -> DataFrame:
     """(rule, before, after): counts of findings by rule in two runs; a rule that one run lacks has 0 there."""
     a, b = (df.groupBy("rule").agg(F.count("*").alias(n)) for df, n in ((previous, "before"), (now, "after")))
     return a.join(b, "rule", "full").select("rule", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+def cold_origins(blocking: DataFrame, warmed: DataFrame) -> DataFrame:
+    """(page, origin): other origins that resources block the page's first view from, and that it doesn't connect to ahead of time."""
+    return blocking.where(F.col("origin") != F.col("own")).select("page", "origin").distinct().join(warmed, ["page", "origin"], "left_anti")
+
+
+def broken_media(media: DataFrame, probes: DataFrame) -> DataFrame:
+    """(target, status, pages): images and videos that sitemap entries list and that answer with an error; ``media`` is (href, target)."""
+    return broken_links(media, probes)
+
+
+def unreachable_alternates(alternates: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(href, fault, pages): language alternates that redirect or answer outside 2xx; those never fetched say nothing."""
+    moved = redirects.select(F.col("from").alias("href"), F.col("to").alias("landing")).dropDuplicates(["href"])
+    told = alternates.where("page <> href").select("page", "href").distinct().join(pages.select("href", "status"), "href", "left").join(moved, "href", "left")
+    fault = F.when(F.col("landing").isNotNull(), "redirects").when(~F.col("status").between(200, 299), F.concat(F.lit("answers "), F.col("status").cast("string")))
+    return told.withColumn("fault", fault).where("fault IS NOT NULL").groupBy("href", "fault").agg(F.count("*").alias("pages"))
+
+
+def advertised_feeds(feeds: DataFrame, head_links: DataFrame) -> DataFrame:
+    """(url, pages, titles): feeds with the pages whose head links to them as alternates of a feed's type, and how many titles those give."""
+    kinds = F.lower(F.trim("type")).rlike(r"^application/(rss\+xml|atom\+xml|feed\+json|json)\b")
+    ads = head_links.where(F.lower("rel").rlike(r"(^|\s)alternate(\s|$)") & kinds)
+    return feeds.join(ads, feeds.url == ads.href).groupBy("url").agg(F.count_distinct("page").alias("pages"), F.count_distinct("title").alias("titles"))
+
+
+def attached_resources(uses: DataFrame, fetched: DataFrame, now, failure_ttl: int = 3600) -> DataFrame:
+    """Uses with what was fetched of their URL (url, status, bytes, fetched_at): a failure older than ``failure_ttl`` seconds counts as not fetched yet.
+
+    Of types that are not read only the head was asked, so their size is the declared one: ``declared`` where ``bytes`` is null."""
+    stale = (F.coalesce("status", F.lit(0)) >= 400) & (F.unix_timestamp(now) - F.unix_timestamp("fetched_at") > failure_ttl)
+    return uses.join(fetched.where(~stale).select("url", "status", F.coalesce("bytes", "declared").alias("bytes")), "url", "left")
+
+
+def unread(uses: DataFrame, fetched: DataFrame, now, failure_ttl: int = 3600) -> DataFrame:
+    """(url, pages): URLs to be fetched: never fetched, or failed longer ago than ``failure_ttl`` seconds."""
+    known = attached_resources(uses.select("url").distinct(), fetched, now, failure_ttl).where("status IS NOT NULL").select("url")
+    return uses.groupBy("url").agg(F.count_distinct("page").alias("pages")).join(known, "url", "left_anti")
+
+
+def crawl_frontier(seeds: DataFrame, links: DataFrame, budget: int | None = None, depth: int | None = None) -> DataFrame:
+    """(url, depth): what a crawl of stored links visits: level by level from the seeds, each URL once, no deeper than ``depth`` and, as a
+    feature of the crawl, ``budget`` URLs at most, of the last level the first by name."""
+    from pagesift.sources.scratch import cut
+
+    frontier = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    visited, level = frontier, 0
+    while (depth is None or level < depth) and (budget is None or visited.count() < budget):
+        level += 1
+        new = frontier.join(links, frontier.url == links.href).select(F.col("target").alias("url")).distinct().join(visited, "url", "left_anti").withColumn("depth", F.lit(level))
+        frontier = cut(new)
+        if not frontier.limit(1).count():
+            break
+        visited = cut(visited.unionByName(frontier))
+    return visited if budget is None else visited.orderBy("depth", "url").limit(budget)
