@@ -26,7 +26,7 @@ def address_bits(address: Column) -> Column:
     groups = lambda h: F.filter(F.split(F.coalesce(h, F.lit("")), ":"), lambda g: g != "")
     left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
     gap = F.lit(8) - F.size(left) - F.size(right)
-    fine = grouped.rlike(r"(?i)^[0-9a-f:]+$") & F.contains(grouped, F.lit(":")) & (F.size(halves) <= 2) & ((F.size(halves) == 2) & (gap >= 1) | (F.size(halves) == 1) & (gap == 0) & ~grouped.rlike("^:|:$"))
+    fine = grouped.rlike(r"(?i)^[0-9a-f:]+$") & ~F.contains(grouped, F.lit(":::")) & F.contains(grouped, F.lit(":")) & (F.size(halves) <= 2) & ((F.size(halves) == 2) & (gap >= 1) | (F.size(halves) == 1) & (gap == 0) & ~grouped.rlike("^:|:$"))
     every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
     six = F.when(fine & F.forall(every, lambda g: F.length(g) <= 4), F.array_join(F.transform(every, lambda g: F.lpad(F.lower(g), 4, "0")), ""))
     return F.coalesce(F.when(four.isNotNull(), F.lpad(F.lower(F.hex(four)), 8, "0")), six)

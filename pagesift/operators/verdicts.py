@@ -41,9 +41,13 @@ def untested(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rules.join(verdicts.select("rule").distinct(), "rule", "left_anti")
 
 
-def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, folding: bool = True) -> DataFrame:
     """Page findings (rule, group, url, text, score) folded by template.
 
+    What a finding says is its text together with its ``variables`` and ``locations``, if there are such columns: findings
+    that differ in them never merge over groups. Findings with a ``scope`` other than page pass through as they are.
+    Without ``folding`` all do.
+
     ``applicable`` is (group, rule, applicable). A cell folds if it has ``least`` pages and the share
     ``threshold`` of them fails. Cells that fold, or fail whole, and say one thing throughout merge over
     groups by rule and text. Otherwise a folded cell is one group finding, and others stay page findings,
@@ -51,15 +55,28 @@ def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOL
     for a site finding), url (the first), text, score, occurrences, coverage, samples (three first URLs),
     groups. Each step groups by cell or text, after counting within tasks.
     """
+    columns = ["scope", "rule", "group", "url", "text", "score", "occurrences", "coverage", "samples", "groups"]
+    no_list = F.lit(None).cast("array<string>")
+    asked = {"occurrences": "long", "coverage": "double", "samples": "array<string>", "groups": "array<string>"}
+    as_they_are = lambda df: df.withColumns({c: F.lit(None).cast(t) for c, t in asked.items() if c not in df.columns}).withColumn("scope", F.col("scope") if "scope" in df.columns else F.lit("page")).select(columns)
+    if not folding:
+        return as_they_are(findings)
+    others = None
+    if "scope" in findings.columns:
+        others = as_they_are(findings.where("scope <> 'page'"))
+        findings = findings.where("scope = 'page'").drop("scope")
+    extra = [c for c in ("variables", "locations") if c in findings.columns]
+    said = F.concat_ws("\u0001", "text", *[F.to_json(F.struct(F.col(c))) for c in extra])
     cells = (
-        findings.groupBy("group", "rule")
-        .agg(F.count_distinct("url").alias("failed"), F.count_distinct("text").alias("said"), F.min("text").alias("text"), F.max("score").alias("score"), F.min("url").alias("url"))
+        findings.withColumn("says", said)
+        .groupBy("group", "rule")
+        .agg(F.count_distinct("url").alias("failed"), F.count_distinct("says").alias("said"), F.min("says").alias("says"), F.min("text").alias("text"), F.max("score").alias("score"), F.min("url").alias("url"))
         .join(applicable, ["group", "rule"], "left")
         .withColumn("applicable", F.coalesce("applicable", "failed"))
         .withColumn("folded", (F.col("applicable") >= least) & (F.col("failed") / F.col("applicable") >= threshold))
         .withColumn("whole", (F.col("folded") | (F.col("failed") >= F.col("applicable"))) & (F.col("said") == 1))
     )
-    merged = F.count("*").over(Window.partitionBy("rule", "text"))
+    merged = F.count("*").over(Window.partitionBy("rule", "says"))  # a row for each group
     whole = cells.where("whole").withColumn("alike", merged)
     cells = whole.unionByName(cells.where("NOT whole").withColumn("alike", F.lit(1).cast("long")))
     kind = F.when(F.col("whole") & (F.col("alike") > 1), "site").when(F.col("folded"), "group").otherwise("page")
@@ -69,22 +86,20 @@ def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOL
     cells = cells.join(sampled, ["group", "rule"])
     tenths = scoring.tenths(F.col("score"))
     coverage = lambda failed, of: F.round(failed / of, 2)
-    columns = ["scope", "rule", "group", "url", "text", "score", "occurrences", "coverage", "samples", "groups"]
-    no_list = F.lit(None).cast("array<string>")
     groups = cells.where("scope = 'group'").select("scope", "rule", "group", "url", "text", tenths.alias("score"), F.col("failed").alias("occurrences"), coverage(F.col("failed"), F.col("applicable")).alias("coverage"), "samples", no_list.alias("groups"))
     sites = (
         cells.where("scope = 'site'")
-        .groupBy("rule", "text")
-        .agg(F.min("url").alias("url"), scoring.tenths(F.max("score")).alias("score"), F.sum("failed").alias("occurrences"), F.sum("applicable").alias("applicable"), F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, 3).alias("samples"), F.array_sort(F.collect_list("group")).alias("groups"))
+        .groupBy("rule", "says")
+        .agg(F.min("text").alias("text"), F.min("url").alias("url"), scoring.tenths(F.max("score")).alias("score"), F.sum("failed").alias("occurrences"), F.sum("applicable").alias("applicable"), F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, 3).alias("samples"), F.array_sort(F.collect_list("group")).alias("groups"))
         .select(F.lit("site").alias("scope"), "rule", F.lit(None).cast("string").alias("group"), "url", "text", "score", "occurrences", coverage(F.col("occurrences"), F.col("applicable")).alias("coverage"), "samples", "groups")
     )
     pages = findings.join(cells.where("scope = 'page'").select("group", "rule"), ["group", "rule"], "left_semi").select(F.lit("page").alias("scope"), "rule", "group", "url", "text", "score", F.lit(None).cast("long").alias("occurrences"), F.lit(None).cast("double").alias("coverage"), no_list.alias("samples"), no_list.alias("groups"))
     mixed = cells.where((F.col("scope") == "page") & ~F.col("whole") & (F.col("applicable") >= least) & (F.col("failed") / F.col("applicable") > HETEROGENEOUS))
-    advice = mixed.select(F.lit("group").alias("scope"), F.lit("groups/heterogeneous").alias("rule"), "group", "url", F.concat(F.col("rule"), F.lit(" fails on "), F.col("failed").cast("string"), F.lit(" of "), F.col("applicable").cast("string")).alias("text"), F.lit(2.0).alias("score"), F.lit(None).cast("long").alias("occurrences"), F.lit(None).cast("double").alias("coverage"), no_list.alias("samples"), no_list.alias("groups"))
+    advice = mixed.select(F.lit("group").alias("scope"), F.lit("groups/heterogeneous").alias("rule"), "group", "url", F.concat(F.col("failed").cast("string"), F.lit(" pages of "), F.col("applicable").cast("string"), F.lit(" break "), F.col("rule"), F.lit(", so one template can't be the cause")).alias("text"), F.lit(2.0).alias("score"), F.lit(None).cast("long").alias("occurrences"), F.lit(None).cast("double").alias("coverage"), no_list.alias("samples"), no_list.alias("groups"))
     out = groups.select(columns)
     for more in (sites, pages, advice):
         out = out.unionByName(more.select(columns))
-    return out
+    return out if others is None else out.unionByName(others)
 
 
 def urgency(findings: DataFrame, total: int, by: str = "severity") -> list[Column]:

@@ -242,7 +242,7 @@ s AS (SELECT *, CASE WHEN whole AND count(*) FILTER (whole) OVER (PARTITION BY r
 SELECT 'group' AS scope, rule, grp AS "group", url, text, score, failed AS occurrences, round(failed / applicable, 2) AS coverage, array_to_string(samples, ' ') AS samples, NULL AS groups FROM s WHERE scope = 'group'
 UNION ALL SELECT 'site', rule, NULL, min(url), text, max(score), sum(failed)::BIGINT, round(sum(failed) / sum(applicable), 2), array_to_string(list_sort(flatten(list(samples)))[1:3], ' '), array_to_string(list_sort(list(grp)), ' ') FROM s WHERE scope = 'site' GROUP BY rule, text
 UNION ALL SELECT 'page', f.rule, f.grp, f.url, f.text, f.score, NULL, NULL, NULL, NULL FROM failing f JOIN s USING (grp, rule) WHERE s.scope = 'page'
-UNION ALL SELECT 'group', 'groups/heterogeneous', grp, url, rule || ' fails on ' || failed || ' of ' || applicable, 2.0, NULL, NULL, NULL, NULL FROM s WHERE scope = 'page' AND NOT whole AND applicable >= 3 AND failed / applicable > 0.2"""
+UNION ALL SELECT 'group', 'groups/heterogeneous', grp, url, failed || ' pages of ' || applicable || ' break ' || rule || ', so one template can''t be the cause', 2.0, NULL, NULL, NULL, NULL FROM s WHERE scope = 'page' AND NOT whole AND applicable >= 3 AND failed / applicable > 0.2"""
 )
 def fold_by_template(spark, sf_dir):
     folded = L.lint_pages(spark, sf_dir)

@@ -121,30 +121,138 @@ def test_rating(spark, failed, errored, cost, grade):
     assert verdicts.rating(df).first().grade == grade
 
 
-def test_fold_merges_groups_that_say_the_same(spark):
-    found = [("r", "posts", f"/p{i}", "same", 5.0) for i in range(3)] + [("r", "cv", "/cv", "same", 6.0), ("q", "posts", "/p0", "one", 5.0), ("q", "posts", "/p1", "two", 5.0)]
-    df = spark.createDataFrame(found, "rule string, group string, url string, text string, score double")
-    of = spark.createDataFrame([("posts", "r", 3), ("cv", "r", 1), ("posts", "q", 5)], "group string, rule string, applicable long")
-    out = {(r.scope, r.rule): r for r in verdicts.fold(df, of).collect() if r.scope != "page"}
-    site = out["site", "r"]
-    assert (site.occurrences, site.coverage, site.score, site.samples, site.groups) == (4, 1.0, 6.0, ["/cv", "/p0", "/p1"], ["cv", "posts"])
-    assert out["group", "groups/heterogeneous"].text == "q fails on 2 of 5"
-
-
-SIX = [("/", "a"), ("/", "b"), ("a", "/"), ("a", "b"), ("b", "/"), ("b", "a"), ("b", "c"), ("c", "d"), ("c", "/"), ("d", "e"), ("d", "c")]
-
-
-def test_graph(spark):
-    e = spark.createDataFrame(SIX, "src string, dst string")
-    nodes = spark.createDataFrame([(x,) for x in "/abcde"], "node string")
-    degree = {r.node: (r.in_degree, r.out_degree) for r in graph.degrees(nodes, e).collect()}
-    assert [degree[x][0] for x in "/abcde"] == [3, 2, 2, 2, 1, 1]
-    assert degree["e"][1] == 0
-    depth = {r.node: r.depth for r in graph.depths(e, nodes.where("node = '/'")).collect()}
-    assert [depth[x] for x in "/abcde"] == [0, 1, 1, 2, 3, 4]
-    rank = {r.node: round(r["rank"], 3) for r in graph.pagerank(nodes, e).collect()}
-    assert [rank[x] for x in "/abcde"] == [1.494, 1.241, 1.378, 0.851, 0.577, 0.460]
+def folded_by_hand(found, applicable, threshold=0.8, least=3):
+    """Scopes of what folding gives, by (scope, rule, group, says), with occurrences."""
+    cells = {}
+    for rule, group, url, text, place in found:
+        cells.setdefault((group, rule), []).append((url, (text, place)))
+    whole, out = {}, {}
+    for (group, rule), hits in cells.items():
+        failed, of = len({u for u, _ in hits}), applicable[group, rule]
+        is_folded, says = of >= least and failed / of >= threshold, {x for _, x in hits}
+        if (is_folded or failed == of) and len(says) == 1:
+            whole.setdefault((rule, *says), []).append((group, failed, is_folded))
+        elif is_folded:
+            out["group", rule, group] = failed
+        else:
+            out["page", rule, group] = failed
+            if of >= least and failed / of > 0.2:
+                out["group", "groups/heterogeneous", group, rule] = None
+    for (rule, says), groups in whole.items():
+        if len(groups) > 1:
+            out["site", rule, *says] = sum(f for _, f, _ in groups)
+        else:
+            ((group, failed, is_folded),) = groups
+            out["group" if is_folded else "page", rule, group] = failed
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fold_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    found, applicable = [], {}
+    for rule in ("x/a", "x/b", "y/c", "z/d"):
+        for group in ("news", "shop", "help", "misc"):
+            of = rng.randint(1, 7)
+            applicable[group, rule] = of
+            say = rng.choice(["same", "other"])
+            for i in rng.sample(range(of), rng.choice([0, of, of, max(1, of // 2)])):
+                found.append((rule, group, f"/{group}/{i}", say if rng.random() < 0.9 else "odd", rng.choice(["1:1", "1:1", "1:1", "2:2"]) if rule == "y/c" else "-"))
+    df = spark.createDataFrame([(*f[:4], 5.0, [f[4]]) for f in found], "rule string, group string, url string, text string, score double, locations array<string>")
+    of = spark.createDataFrame([(g, r, n) for (g, r), n in applicable.items()], "group string, rule string, applicable long")
+    got = {}
+    for r in verdicts.fold(df, of).collect():
+        if r.rule == "groups/heterogeneous":
+            got["group", r.rule, r.group, r.text.split(" break ")[1].split(",")[0]] = None
+        elif r.scope == "page":
+            got["page", r.rule, r.group] = got.get(("page", r.rule, r.group), 0) + 1
+        elif r.scope == "group":
+            got["group", r.rule, r.group] = r.occurrences
+        else:
+            got["site", r.rule, r.text, r.occurrences] = sorted(r.groups)
+            assert r.coverage == round(r.occurrences / sum(applicable[g, r.rule] for g in r.groups), 2)
+            assert r.samples == sorted(f[2] for f in found if f[0] == r.rule and f[1] in r.groups)[:3]
+    want = {}
+    for k, v in folded_by_hand([(*f[:4], f[4]) for f in found], applicable).items():
+        want[("site", k[1], k[2], v) if k[0] == "site" else k] = v
+    assert set(got) == set(want)
+    assert {k: v for k, v in got.items() if k[0] != "site"} == {k: v for k, v in want.items() if k[0] != "site"}
+
+
+def test_fold_switched_off_and_other_scopes(spark):
+    rows = [("page", "r", "g", f"/{i}", "t", 5.0) for i in range(4)] + [("site", "s", None, "/", "u", 6.0)]
+    df = spark.createDataFrame(rows, "scope string, rule string, group string, url string, text string, score double")
+    of = spark.createDataFrame([("g", "r", 4)], "group string, rule string, applicable long")
+    assert verdicts.fold(df, of, folding=False).count() == 5
+    assert sorted((r.scope, r.rule) for r in verdicts.fold(df, of).collect()) == [("group", "r"), ("site", "s")]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_graph_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(12)]
+    pairs = sorted({(a, b) for a in names[:10] for b in rng.sample(names, 3) if a != b})
+    out = {n: [b for a, b in pairs if a == n] for n in names}
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    links = spark.createDataFrame([*pairs, ("n0", "elsewhere"), ("n0", "n0")], "src string, target string")
+    degree = {r.node: (r.in_degree, r.out_degree) for r in graph.degrees(nodes, e, links).collect()}
+    assert degree == {n: (sum(b == n for _, b in pairs), len(out[n]) + (n == "n0")) for n in names}
+    depth = frontier = {"n0": 0}
+    while frontier:
+        frontier = {b: d + 1 for a, d in frontier.items() for b in out[a] if b not in depth}
+        depth = depth | frontier
+    reached = graph.depths(e, nodes.where("node = 'n0'"))
+    assert {r.node: r.depth for r in reached.collect()} == depth
+    rank = dict.fromkeys(names, 1 / 12)
+    for _ in range(100):
+        held = sum(rank[n] for n in names if not out[n])
+        rank = {n: (0.15 + 0.85 * held) / 12 + 0.85 * sum(rank[a] / len(out[a]) for a, b in pairs if b == n) for n in names}
+    assert {r.node: r["rank"] for r in graph.pagerank(nodes, e).collect()} == pytest.approx({n: 12 * r for n, r in rank.items()}, abs=1e-6)
     assert graph.pagerank(nodes.limit(0), e.limit(0)).count() == 0
+    told = graph.summary(nodes, e, reached, complete=False).first()
+    assert (told.pages, told.edges, told.unreached, told.deepest, told.complete) == (12, len(pairs), 12 - len(depth), max(depth.values()), False)
+
+
+def test_previous_page_and_partial_marks(spark):
+    nexts = spark.createDataFrame([("/1", "/2", 1), ("/x", "/2", 2), ("/2", "/gone", 3)], "page string, target string, ordinal int")
+    known = spark.createDataFrame([("/2", "/2"), ("/old", "/1")], "url string, page string")
+    assert graph.previous_pages(nexts, known).collect() == [("/2", "/x")]
+    found = spark.createDataFrame([("links/depth", "deep"), ("html/x", "y")], "rule string, text string")
+    assert sorted(r.text for r in graph.marked_partial(found, ["links/depth"], False).collect()) == ["deep (as far as the crawl went)", "y"]
+    assert graph.marked_partial(found, ["links/depth"], True).count() == 2
+
+
+def test_following_over_many_ranges(spark):
+    rows = [(i * 7919 % 1000, i % 3, i) for i in range(1000)]
+    got = graph.following(spark.createDataFrame(rows, "at int, tie int, v int"), ["at", "tie", "v"], "v", parts=13)
+    order = [v for *_, v in sorted(rows)]
+    assert {r.v: r.next for r in got.collect()} == dict(zip(order, [*order[1:], None]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 101])
+def test_ranks_from_counts(spark, n):
+    rng = random.Random(n)
+    values = {g: [rng.choice([rng.random(), 0.5, -1.0]) for _ in range(n + k)] for k, g in enumerate("ab")}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("none", None)], "g string, v double")
+    got = {r.g: r for r in insights.ranked(df, ["g"], "v", {**insights.MIDDLE, "p95": lambda m: F.ceil(m * 0.95)}).collect()}
+    assert set(got) == {"a", "b"}
+    for g, vs in values.items():
+        ordered = sorted(vs)
+        m = len(ordered)
+        assert (got[g].n, got[g].low, got[g].high, got[g].p95) == (m, ordered[(m - 1) // 2], ordered[m // 2], ordered[-(-m * 95 // 100) - 1])
+
+
+def test_dominating(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(20)] + [(99, 1000.0), (98, None)], "id int, v double")
+    assert insights.dominating(df, "id", "v").collect() == [(99, 1000.0, sum(range(10, 20)))]
+    assert insights.dominating(df.where("id < 50"), "id", "v").count() == 0
+
+
+def test_value_counts_ignore_a_fact(spark):
+    df = spark.createDataFrame([("h", "1", "a", None), ("h", "2", "b", "address"), ("h", "1", "a", None)], "host string, version string, address string, no string")
+    got = insights.value_counts(df, "host", ["version", "address"], F.col("no"))
+    assert sorted((r.fact, r.value, r.n) for r in got.collect()) == [("version", "1", 2), ("version", "2", 1)]
 
 
 def test_outlier_and_minority(spark):
@@ -200,7 +308,7 @@ def test_durations_and_digest(spark):
 def test_reports(spark, tmp_path):
     found = spark.createDataFrame([("page", "r", "g", "u", 'a "b", c', 5.0, None)], "scope string, rule string, group string, url string, text string, score double, occurrences long")
     reports.write_csv(found, f"{tmp_path}/csv")
-    assert spark.read.csv(f"{tmp_path}/csv", header=True, escape='"').first().text == 'a "b", c'
+    assert spark.read.csv(f"{tmp_path}/csv", header=True, escape='"').first().message == 'a "b", c'
     reports.write_json(found, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").first().severity == "warning"
     assert '"rank":50.0' in reports.sarif_results(found).first().result
