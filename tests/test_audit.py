@@ -162,7 +162,8 @@ def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
     out = windows.drained(windows.counts(stream(), "ts", ["k"], "1 hour"), f"{tmp_path}/counts", f"{tmp_path}/c1")
     assert sorted((r.k, r.total) for r in out.collect()) == [("a", 1.0), ("a", 2.0), ("b", 2.0)]
     once = windows.drained(windows.first_seen(stream(), "ts", ["k"]).select("k", "ts", "value"), f"{tmp_path}/first", f"{tmp_path}/c2")
-    assert sorted((r.k, r.value) for r in once.collect()) == [("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", 1.0)]
+    # The first a is forgotten when the second comes; the first b isn't yet when the last comes, as its own batch doesn't move the watermark.
+    assert sorted((r.k, r.value) for r in once.collect()) == [("a", 1.0), ("a", 2.0), ("b", 1.0)]
 
 
 def test_bucket_that_refuses(spark, tmp_path):
