@@ -25,7 +25,7 @@ BOOKS, WORDS, BEAM = 24, 256, 4
 SAMPLE = 8192
 RERANK = 300
 #: Rows in a block of codes and of queries.
-CODE_BLOCK, QUERY_BLOCK = 65536, 256
+CODE_BLOCK, QUERY_BLOCK = 65536, 1024
 
 
 class AdditiveQuantizer:
