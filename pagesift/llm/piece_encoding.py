@@ -25,7 +25,7 @@ MARK = "▁"
 #: The most characters of a chunk that enters a worker's cache.
 LONGEST = 32
 #: A worker's cache is emptied at this many bytes; an entry takes what its key and ids do and this much besides.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 200
 NONE = np.int32(2**31 - 1)
 #: Chunks that are checked as the lines of one text.
 LINES = 64
@@ -98,27 +98,27 @@ class ChunkEncoder:
         self.marked: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.cached = 0
-        self.unchecked: list[tuple[str, bytes]] = []
 
     def merge(self, chunk: str) -> list[int]:
         return unpacked(self.merge_packed([chunk])[0])
 
     def merge_packed(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(chunks), LINES):
-            some = chunks[i : i + LINES]
-            whole = packed(self.library.encode("\n" + "\n".join(some)))[len(self.lead) :]
-            ends = (4 * np.flatnonzero(np.frombuffer(whole, "<i4") == np.frombuffer(self.feed, "<i4"))).tolist()
-            out += [whole[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(whole)], strict=True)]
+        for i in range(0, len(chunks), 4 * LINES):
+            whole = packed(self.library.encode("\n" + "\n".join(chunks[i : i + 4 * LINES])))
+            feeds = 4 * np.flatnonzero(np.frombuffer(whole, "<i4") == np.frombuffer(self.feed, "<i4"))
+            out += map(whole.__getitem__, map(slice, (feeds + 4).tolist(), [*feeds[1:].tolist(), len(whole)]))
         return out
 
+    def note(self, chunks: list[str], ids: list[bytes]) -> None:
+        """New chunks that ``check`` is to look at."""
+
     def check(self) -> bool:
-        self.unchecked = []
         return True
 
     def _new(self, cache: dict, key: str, chunk: str) -> bytes:
         found = packed(self.merge(chunk))
-        self.unchecked.append((chunk, found))
+        self.note([chunk], [found])
         if len(key) <= LONGEST:
             cache[key] = found
             self.cached += ENTRY_BYTES + len(key) + len(found)
@@ -135,48 +135,51 @@ class ChunkEncoder:
         split = [line.split(" ") for line in f" {text.replace(MARK, ' ')}".split("\n")] if text else []
         return [(words[0], words[1:]) for words in split]
 
-    def learn(self, texts: list[list[tuple[str, list[str]]]]) -> None:
-        """Puts the texts' new short chunks into the caches, emptied before if they are full."""
-        if self.cached > CACHE_BYTES:
-            self._empty()
-        marked: set[str] = set()
-        bare: set[str] = set()
-        for lines in texts:
-            for first, rest in lines:
-                bare.add(first)
-                marked.update(rest)
+    def learn(self, marked: set[str], bare: set[str]) -> None:
+        """Puts new short chunks into the caches."""
         for cache, words, mark in ((self.marked, marked, MARK), (self.bare, bare, "")):
-            new = [w for w in words.difference(cache) if w and len(w) <= LONGEST]
+            new = [w for w in words if w and len(w) <= LONGEST]
             whole = [mark + w for w in new]
             ids = self.merge_packed(whole)
             cache.update(zip(new, ids, strict=True))
-            self.cached += sum(ENTRY_BYTES + len(w) + len(i) for w, i in zip(new, ids, strict=True))
-            self.unchecked += zip(whole, ids, strict=True)
+            self.cached += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, ids))
+            self.note(whole, ids)
 
-    def chunks(self, lines: list[tuple[str, list[str]]]) -> list[bytes]:
-        """The packed ids of each chunk of a text in turn."""
+    def chunks(self, lines: list[tuple[str, list[str]]], known: list[list[bytes | None]]) -> list[bytes]:
+        """The packed ids of each chunk of a text in turn; ``known`` are those of what follows the marks of each line, as far as they were cached."""
         out, marked, bare = [], self.marked, self.bare
-        for i, (first, rest) in enumerate(lines):
+        for i, ((first, rest), found) in enumerate(zip(lines, known, strict=True)):
             if i:
                 out.append(self.feed)
-            if "" in rest:  # marks in a row, or at the end
-                for c in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK.join([first, *rest])):
-                    cache, key = (marked, c[1:]) if c[0] == MARK else (bare, c)
-                    out.append(cache.get(key) or self._new(cache, key, c))
-                continue
+            if None in found:
+                if "" in rest:  # marks in a row, or at the end
+                    for c in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK.join([first, *rest])):
+                        cache, key = (marked, c[1:]) if c[0] == MARK else (bare, c)
+                        out.append(cache.get(key) or self._new(cache, key, c))
+                    continue
+                found = [f or marked.get(w) or self._new(marked, w, MARK + w) for w, f in zip(rest, found, strict=True)]
             if first:
                 out.append(bare.get(first) or self._new(bare, first, first))
-            found = list(map(marked.get, rest))
-            if None in found:
-                found = [marked.get(w) or self._new(marked, w, MARK + w) for w in rest]
             out += found
         return out
 
     def batch(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """For each text its packed ids, checked, and 1 if the library's ids had to be taken for it."""
+        """For each text its packed ids, checked, and 1 if the library's ids had to be taken for it. Full caches are emptied before."""
+        if self.cached > CACHE_BYTES:
+            self._empty()
         split = [self.lines(t) for t in texts]
-        self.learn(split)
-        out = [(b"".join(self.chunks(lines)), 0) for lines in split]
+        get, held = self.marked.get, self.bare
+        known = [[list(map(get, rest)) for _, rest in lines] for lines in split]
+        marked: set[str] = set()
+        bare: set[str] = set()
+        for lines, founds in zip(split, known, strict=True):
+            for (first, rest), found in zip(lines, founds, strict=True):
+                if first not in held:
+                    bare.add(first)
+                if None in found:
+                    marked.update([w for w, f in zip(rest, found, strict=True) if f is None])
+        self.learn(marked, bare)
+        out = [(b"".join(self.chunks(lines, founds)), 0) for lines, founds in zip(split, known, strict=True)]
         if not self.check():
             theirs = [packed(self.library.encode(t)) for t in texts]
             out = [(b, int(a != b)) for (a, _), b in zip(out, theirs, strict=True)]
@@ -188,6 +191,7 @@ class AgendaEncoder(ChunkEncoder):
 
     def __init__(self, model_file: str):
         super().__init__(model_file)
+        self.unchecked: list[tuple[str, bytes]] = []
         #: Of pieces, 0 for the best score; equal scores have equal ranks.
         order = {score: r for r, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.ranks = {p: order[score] for p, score in self.scores.items()}
@@ -299,6 +303,9 @@ class AgendaEncoder(ChunkEncoder):
                 keep = left >= 0
                 ranks[every[keep], left[keep]] = rank[keep]
 
+    def note(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.unchecked += zip(chunks, ids, strict=True)
+
     def check(self) -> bool:
         """Compares all new chunks with the library, in one call; True if all agree. Caches with others are emptied."""
         new, self.unchecked = self.unchecked, []
