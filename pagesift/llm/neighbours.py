@@ -122,7 +122,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     ``metric`` ip: largest inner product; l2: smallest squared distance, whose negative is the score. Equal
     scores go to the smaller id; with fewer than ``k`` others, all are given. Vectors that ``usable`` bars,
     vectors of another length than most, and rows with a null id take no part. Rows that repeat id and
-    vector count once; a query's own id is never its neighbour. An empty table gives an empty result.
+    vector count once; a query's own id is never its neighbour. An id that rows give to different vectors has an answer
+    for each of them as a query, and is named with each as a neighbour. An empty table gives an empty result.
     """
     classes = stored(vector_classes(df, id_col, vector_col, k + 1), "classes")
     lengths = classes.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()

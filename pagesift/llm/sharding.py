@@ -3,7 +3,8 @@
 A store is a folder of immutable Parquet shards and of versioned manifests. ``append`` writes arrivals as
 small shards; ``compact`` merges shards of a similar size, ``fanout`` or more at a time, into files of about
 ``target_bytes``. Each ends with one commit: the next manifest is written under another name and renamed to
-its version number, which fails if that version exists. Readers see one version whole or not at all; a job
+its version number, which fails if that version exists. (Hadoop's file systems and local disks rename in one
+step; object stores may not, and need a committer of their own.) Readers see one version whole or not at all; a job
 that dies before its commit leaves only files that no manifest names. The driver handles file names and
 sizes alone.
 """
@@ -171,8 +172,8 @@ class ShardStore:
                 self._fs.delete(self._path(f"{self.root}/manifests/{f.path}"), False)
 
 
-def shard_arrivals(arrivals: list[DataFrame], root: str, **options) -> ShardStore:
-    """Appends each arrival, compacts, and returns the store.
+def shard_arrivals(arrivals: list[DataFrame], root: str, history: bool = False, **options) -> ShardStore:
+    """Appends each arrival, compacts, and returns the store. Only with ``history`` older versions can still be read.
 
     Rows are stored as they are: nulls, repeated rows and any columns are kept. Later arrivals must have the
     first one's columns, or an error is raised. An empty arrival adds no rows.
@@ -181,7 +182,8 @@ def shard_arrivals(arrivals: list[DataFrame], root: str, **options) -> ShardStor
     for df in arrivals:
         store.append(df)
     store.compact()
-    store.vacuum()
+    if not history:
+        store.vacuum()
     return store
 
 
