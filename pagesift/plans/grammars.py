@@ -11,8 +11,6 @@ from pagesift.plans.cases import Cases
 _C = Cases()
 QUERIES, SQL = _C.queries, _C.sql
 
-h = F.col("h")
-
 
 def _shown(df, p: Column, **fields: Column):
     """id, the fields of the parsed header p and its errors as text."""
@@ -20,9 +18,6 @@ def _shown(df, p: Column, **fields: Column):
     return df.select("id", *[c.alias(n) for n, c in fields.items()], F.array_join("p.errors", "; ").alias("errors"))
 
 
-v = F.col("p.value")
-
-
 def joined(c: Column) -> Column:
     return F.array_join(c, " ")
 
@@ -42,7 +37,7 @@ _C.add(
         ("cacheable", (None, None, None, None, None, "unknown: cacheable")),
         (None, (None, None, None, None, None, None)),
     ],
-    lambda df: _shown(df, H.cache_control(h), max_age=v["max_age"], s_maxage=v["s_maxage"], public=v["public"], no_cache=v["no_cache"], fields=joined(v["no_cache_fields"])),
+    lambda df: _shown(df, H.cache_control(F.col("h")), max_age=F.col("p.value")["max_age"], s_maxage=F.col("p.value")["s_maxage"], public=F.col("p.value")["public"], no_cache=F.col("p.value")["no_cache"], fields=joined(F.col("p.value")["no_cache_fields"])),
 )
 _C.add(
     "header_hsts",
@@ -56,13 +51,13 @@ _C.add(
         ("max-age=1; preload; preload", (None, None, None, "again: preload")),
         ("max-age=1; a b", (None, None, None, "malformed: a b")),
     ],
-    lambda df: _shown(df, H.hsts(h), max_age=v["max_age"], subdomains=v["subdomains"], preload=v["preload"]),
+    lambda df: _shown(df, H.hsts(F.col("h")), max_age=F.col("p.value")["max_age"], subdomains=F.col("p.value")["subdomains"], preload=F.col("p.value")["preload"]),
 )
 _C.add(
     "header_vary",
     "names VARCHAR, errors VARCHAR",
     [("Accept-Encoding , accept", ("accept-encoding accept", "")), ("*", ("*", "")), ("a b, c", (None, "no field name: a b")), (" , ", ("", ""))],
-    lambda df: _shown(df, H.vary(h), names=joined(v)),
+    lambda df: _shown(df, H.vary(F.col("h")), names=joined(F.col("p.value"))),
 )
 _C.add(
     "header_content_type",
@@ -73,7 +68,7 @@ _C.add(
         ("html", (None, None, None, "no media type")),
         ("text/html; utf-8", (None, None, None, "malformed: utf-8")),
     ],
-    lambda df: _shown(df, H.content_type(h), media=v["media"], charset=v["charset"], boundary=F.try_element_at(v["parameters"], F.lit("boundary"))),
+    lambda df: _shown(df, H.content_type(F.col("h")), media=F.col("p.value")["media"], charset=F.col("p.value")["charset"], boundary=F.try_element_at(F.col("p.value")["parameters"], F.lit("boundary"))),
 )
 _C.add(
     "header_retry_after",
@@ -86,13 +81,13 @@ _C.add(
         ("-5", (None, None, "neither seconds nor a date")),
         ("soon", (None, None, "neither seconds nor a date")),
     ],
-    lambda df: _shown(df, H.retry_after(h, F.lit("2024-01-02 00:00:00").cast("timestamp")), seconds=v["seconds"], date=v["date"]),
+    lambda df: _shown(df, H.retry_after(F.col("h"), F.lit("2024-01-02 00:00:00").cast("timestamp")), seconds=F.col("p.value")["seconds"], date=F.col("p.value")["date"]),
 )
 _C.add(
     "header_referrer_policy",
     "policy VARCHAR, errors VARCHAR",
     [("no-referrer, Strict-Origin", ("strict-origin", "")), ("origin", ("origin", "")), ("never, origin", (None, "unknown: never")), ("", (None, ""))],
-    lambda df: _shown(df, H.referrer_policy(h), policy=v),
+    lambda df: _shown(df, H.referrer_policy(F.col("h")), policy=F.col("p.value")),
 )
 _C.add(
     "header_alt_svc",
@@ -105,7 +100,7 @@ _C.add(
         ('h3="host"', (None, None, None, "no authority")),
         ('h3=":443"; ma=long', (None, None, None, "no seconds: ma")),
     ],
-    lambda df: _shown(df, H.alt_svc(h), protocols=joined(v["protocol"]), authorities=joined(v["authority"]), longest=F.array_max(v["ma"])),
+    lambda df: _shown(df, H.alt_svc(F.col("h")), protocols=joined(F.col("p.value")["protocol"]), authorities=joined(F.col("p.value")["authority"]), longest=F.array_max(F.col("p.value")["ma"])),
 )
 _C.add(
     "header_link",
@@ -119,7 +114,7 @@ _C.add(
         ("</a>; rel=next junk", (None, None, None, "malformed")),
         ("</a>; rel=preload; as", ("/a", "preload", "", "")),
     ],
-    lambda df: _shown(df, H.link(h), hrefs=joined(v["href"]), rels=F.array_join(v["rel"], "|"), shown=F.try_element_at(F.filter(F.transform(v, lambda x: F.try_element_at(x["parameters"], F.lit("as"))), lambda x: x.isNotNull()), F.lit(1))),
+    lambda df: _shown(df, H.link(F.col("h")), hrefs=joined(F.col("p.value")["href"]), rels=F.array_join(F.col("p.value")["rel"], "|"), shown=F.try_element_at(F.filter(F.transform(F.col("p.value"), lambda x: F.try_element_at(x["parameters"], F.lit("as"))), lambda x: x.isNotNull()), F.lit(1))),
 )
 _C.add(
     "header_csp",
@@ -134,7 +129,7 @@ _C.add(
         ("upgrade-insecure-requests 1", (None, None, "no argument taken: upgrade-insecure-requests")),
         ("frame-ancestors 'none'; report-to x", (1, "frame-ancestors report-to", "")),
     ],
-    lambda df: _shown(df, H.content_policies(h), policies=F.when(v.isNotNull(), F.size(v)).cast("bigint"), names=F.array_join(F.transform(v, lambda m: F.array_join(F.array_sort(F.map_keys(m)), " ")), "|")),
+    lambda df: _shown(df, H.content_policies(F.col("h")), policies=F.when(F.col("p.value").isNotNull(), F.size(F.col("p.value"))).cast("bigint"), names=F.array_join(F.transform(F.col("p.value"), lambda m: F.array_join(F.array_sort(F.map_keys(m)), " ")), "|")),
 )
 
 
@@ -166,7 +161,7 @@ _C.add(
 
 
 def _field(name: str, parse, cases) -> None:
-    _C.add(name, "value VARCHAR, errors VARCHAR", cases, lambda df: _shown(df, parse(h), value=v))
+    _C.add(name, "value VARCHAR, errors VARCHAR", cases, lambda df: _shown(df, parse(F.col("h")), value=F.col("p.value")))
 
 
 _field("header_permissions_policy", H.permissions_policy, [
@@ -204,7 +199,7 @@ _C.add(
         ("k=v; Expires=Tue, 02 Jan 2024 01:00:00 GMT; max-age=-1", ("k", False, False, None, None, None, -1)),
         ("k=v; max-age=soon; path=/a", ("k", False, False, None, "/a", None, None)),
     ],
-    lambda df: df.select("id", H.cookie(h, F.lit("2024-01-02 00:00:00").cast("timestamp")).alias("p")).select("id", "p.*"),
+    lambda df: df.select("id", H.cookie(F.col("h"), F.lit("2024-01-02 00:00:00").cast("timestamp")).alias("p")).select("id", "p.*"),
 )
 
 
@@ -248,5 +243,5 @@ _C.add(
     "document_type",
     "document BOOLEAN",
     [("text/html; charset=utf-8", (True,)), ("Application/PDF", (True,)), ("image/png", (False,)), (None, (False,)), ("text/x-own ", (True,))],
-    lambda df: df.select("id", H.document(h, ("Text/X-Own",)).alias("document")),
+    lambda df: df.select("id", H.document(F.col("h"), ("Text/X-Own",)).alias("document")),
 )

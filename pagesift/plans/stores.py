@@ -20,7 +20,6 @@ from pagesift.sources import reports as W
 
 _C = Cases()
 QUERIES, SQL = _C.queries, _C.sql
-h = F.col("h")
 
 
 def query(sql: str | None = None):

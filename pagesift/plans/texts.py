@@ -15,28 +15,26 @@ from pagesift.plans.pages import read
 _C = Cases()
 QUERIES, SQL = _C.queries, _C.sql
 
-h = F.col("h")
-
 
 def _one(name: str, kind: str, cases, make, names=("h",)) -> None:
     _C.add(name, f"x {kind}", [(a, (b,)) for a, b in cases], lambda df: df.select("id", make(df).alias("x")), names=names)
 
 
-_one("header_glob", "BOOLEAN", [("Apache/2.4", True), ("apache", True), ("nginx", False), ("my apache", False), (None, None)], lambda df: S.like_header(h, "apache*"))
-_one("slug_tokens", "VARCHAR", [("F%C3%BCr-Elise_Elise", "elise fur"), ("Stra%DFe", "dfe stra"), ("Straße 7", "7 strasse"), ("ﬁne+art", "art fine"), ("---", ""), ("50%", "50")], lambda df: F.array_join(S.tokens(h), " "))
+_one("header_glob", "BOOLEAN", [("Apache/2.4", True), ("apache", True), ("nginx", False), ("my apache", False), (None, None)], lambda df: S.like_header(F.col("h"), "apache*"))
+_one("slug_tokens", "VARCHAR", [("F%C3%BCr-Elise_Elise", "elise fur"), ("Stra%DFe", "dfe stra"), ("Straße 7", "7 strasse"), ("ﬁne+art", "art fine"), ("---", ""), ("50%", "50")], lambda df: F.array_join(S.tokens(F.col("h")), " "))
 _one("template_fill", "VARCHAR", [(("{got} in {field}", "5", "title"), "5 in title"), (("{got}{got}", "a", None), "aa"), (("{field}", "x", None), "{field}"), (("plain", "x", "y"), "plain")], lambda df: S.filled(F.col("t"), {"got": F.col("got"), "field": F.col("field")}), ("t", "got", "field"))
-_one("message_elide", "VARCHAR", [("short", "5 characters: “short”"), ("a" * 100 + "b" * 100, "200 characters: “" + "a" * 100 + "b" * 100 + "”"), ("a" * 150 + "b" * 150, "300 characters: “" + "a" * 100 + "…" + "b" * 99 + "”"), (None, "none")], lambda df: S.shown(h, "string"))
-_one("title_redundant", "VARCHAR", [("Shop | Shop", "Shop"), ("Fish - Red Fish", None), ("A very long name – A very long name", "A very long name"), ("Big Shop: Shop", "Shop"), ("One | Two", None), ("a-a", None)], lambda df: S.repeated_about(h))
-_one("srcset_candidates", "VARCHAR", [("a.png 1x, b.png 2x", "a.png b.png"), (" a.png  100w ,,c.png", "a.png c.png"), ("", "")], lambda df: F.array_join(S.srcset(h), " "))
-_one("printable_text", "VARCHAR", [("a\tb\nc", "a\\u{9}b\\u{a}c"), ("\x1b[31m", "\\u{1b}[31m"), ("x‮y⁦", "x\\u{202e}y\\u{2066}"), ("für €", "für €"), ("", "")], lambda df: S.printable(h))
+_one("message_elide", "VARCHAR", [("short", "5 characters: “short”"), ("a" * 100 + "b" * 100, "200 characters: “" + "a" * 100 + "b" * 100 + "”"), ("a" * 150 + "b" * 150, "300 characters: “" + "a" * 100 + "…" + "b" * 99 + "”"), (None, "none")], lambda df: S.shown(F.col("h"), "string"))
+_one("title_redundant", "VARCHAR", [("Shop | Shop", "Shop"), ("Fish - Red Fish", None), ("A very long name – A very long name", "A very long name"), ("Big Shop: Shop", "Shop"), ("One | Two", None), ("a-a", None)], lambda df: S.repeated_about(F.col("h")))
+_one("srcset_candidates", "VARCHAR", [("a.png 1x, b.png 2x", "a.png b.png"), (" a.png  100w ,,c.png", "a.png c.png"), ("", "")], lambda df: F.array_join(S.srcset(F.col("h")), " "))
+_one("printable_text", "VARCHAR", [("a\tb\nc", "a\\u{9}b\\u{a}c"), ("\x1b[31m", "\\u{1b}[31m"), ("x‮y⁦", "x\\u{202e}y\\u{2066}"), ("für €", "für €"), ("", "")], lambda df: S.printable(F.col("h")))
 _FEEDS = ["https://mp3s.nashownotes.com/pc20rss.xml", "podnews.net/rss/", "http://e.example//"]
-_one("podcast_guid", "VARCHAR", [(u, str(uuid.uuid5(uuid.UUID(S.PODCASTS), u.split("://")[-1].rstrip("/")))) for u in _FEEDS] + [(None, None)], lambda df: S.podcast_guid(h))
-_one("language_tag", "BOOLEAN", [("en", True), ("de-CH-1996", True), ("zh-Hant-TW", True), ("en-US-u-islamcal", True), ("x-klingon", True), ("e", False), ("english_US", False), ("en-", False), ("de-1996-1996", False), ("en-a-bb-a-cc", False), (None, False)], lambda df: S.language_tag(h))
+_one("podcast_guid", "VARCHAR", [(u, str(uuid.uuid5(uuid.UUID(S.PODCASTS), u.split("://")[-1].rstrip("/")))) for u in _FEEDS] + [(None, None)], lambda df: S.podcast_guid(F.col("h")))
+_one("language_tag", "BOOLEAN", [("en", True), ("de-CH-1996", True), ("zh-Hant-TW", True), ("en-US-u-islamcal", True), ("x-klingon", True), ("e", False), ("english_US", False), ("en-", False), ("de-1996-1996", False), ("en-a-bb-a-cc", False), (None, False)], lambda df: S.language_tag(F.col("h")))
 _one("languages_agree", "BOOLEAN", [(("en-GB", "en"), True), (("EN", "en-gb"), True), (("en", "eng"), False), (("fr", "de"), False)], lambda df: S.languages_agree(F.col("a"), F.col("b")), ("a", "b"))
-_one("path_fingerprint", "BOOLEAN", [("/app.3f9a1c.js", True), ("/jquery-3.7.1.min.js", True), ("/a/build7x9q2.css", True), ("/facade.css", False), ("/news/2024/report.pdf", False), ("/deface1/x", True), ("/style.css", False)], lambda df: S.fingerprinted(h))
-_one("unit_bytes", "VARCHAR", [("999", "999 B"), ("1500", "1.5 kB"), ("2000000", "2 MB"), ("0", "0 B"), (None, None)], lambda df: S.with_unit(h.cast("double"), "bytes"))
-_one("unit_seconds", "VARCHAR", [("59", "59 s"), ("90", "1.5 min"), ("86400", "1 d"), ("7200", "2 h")], lambda df: S.with_unit(h.cast("double"), "s"))
-_one("unit_grams", "VARCHAR", [("0.25", "250 mg"), ("1.26", "1.3 g"), ("2500", "2.5 kg")], lambda df: S.with_unit(h.cast("double"), "g"))
+_one("path_fingerprint", "BOOLEAN", [("/app.3f9a1c.js", True), ("/jquery-3.7.1.min.js", True), ("/a/build7x9q2.css", True), ("/facade.css", False), ("/news/2024/report.pdf", False), ("/deface1/x", True), ("/style.css", False)], lambda df: S.fingerprinted(F.col("h")))
+_one("unit_bytes", "VARCHAR", [("999", "999 B"), ("1500", "1.5 kB"), ("2000000", "2 MB"), ("0", "0 B"), (None, None)], lambda df: S.with_unit(F.col("h").cast("double"), "bytes"))
+_one("unit_seconds", "VARCHAR", [("59", "59 s"), ("90", "1.5 min"), ("86400", "1 d"), ("7200", "2 h")], lambda df: S.with_unit(F.col("h").cast("double"), "s"))
+_one("unit_grams", "VARCHAR", [("0.25", "250 mg"), ("1.26", "1.3 g"), ("2500", "2.5 kg")], lambda df: S.with_unit(F.col("h").cast("double"), "g"))
 
 _one(
     "url_resolve_web",
@@ -62,7 +60,7 @@ _one(
     "registrable_domain",
     "VARCHAR",
     [("www.shop.co.uk", "shop.co.uk"), ("A.Example.com", "example.com"), ("co.uk", None), ("me.github.io", "me.github.io"), ("x.me.github.io", "me.github.io"), ("a.b.any.ck", "b.any.ck"), ("any.ck", None), ("x.www.ck", "www.ck"), ("192.0.2.1", None), ("localhost", None), (None, None)],
-    lambda df: W.registrable_domain(h),
+    lambda df: W.registrable_domain(F.col("h")),
 )
 
 #: A page with what each projection looks for, and traps beside it: markup inside a script, attributes given twice, a title in a drawing, unclosed elements.

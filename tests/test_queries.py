@@ -51,3 +51,11 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_registration_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and len(e.oracle_sql()) > 150"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
