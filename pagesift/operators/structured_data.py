@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.weburl import resolve
+from pagesift.sources.scratch import cut
 
 NODES = "array<struct<path: string, id: string, types: array<string>, name: string, defines: boolean, crumbs: array<string>>>"
 _TYPE = pa.list_(pa.struct([("path", pa.string()), ("id", pa.string()), ("types", pa.list_(pa.string())), ("name", pa.string()), ("defines", pa.bool_()), ("crumbs", pa.list_(pa.string()))]))
@@ -80,6 +81,7 @@ def page_nodes(pages: DataFrame, blocks: str = "jsonld", url: str = "href") -> D
 def dangling(found: DataFrame) -> DataFrame:
     """(id, pages): references to blank nodes, or into known pages, that neither the page that refers nor the page that is
     referred to defines; with the number of pages that refer. ``found`` are the nodes of all pages."""
+    found = cut(found.select("href", "id", "defines"))  # read four times; texts are parsed once
     defined = found.where("defines").select("href", "id").distinct()
     refs = found.where("id IS NOT NULL AND NOT defines").select("href", "id").distinct()
     blank = F.col("id").startswith("_:")
