@@ -171,13 +171,13 @@ _rule_query("rule_if_then", R.Rule("if", "html", {"if": {"properties": {"lang":
 _rule_query("rule_absent_fact", R.Rule("absent", "html.description", {"not": {"type": "string"}}), "true")
 
 
-@query(f"WITH {FACTS} SELECT title, count(*) AS pages, array_to_string(list_sort(list(DISTINCT href)), ' ') AS urls FROM facts WHERE title IS NOT NULL GROUP BY title HAVING count(*) > 1")
+@query(f"WITH {FACTS} SELECT title, count(DISTINCT href) AS pages, array_to_string(list_sort(list(DISTINCT href)), ' ') AS urls FROM facts WHERE title IS NOT NULL GROUP BY title HAVING count(DISTINCT href) > 1")
 def rule_unique_title(spark, sf_dir):
     facts = L.page_facts(read(spark, sf_dir, "pages")).select(F.col("html.title").alias("title"), F.col("url.href").alias("href"))
     return R.unique_violations(facts, "title", "href").select("title", "pages", F.array_join("keys", " ").alias("urls"))
 
 
-@query(f"WITH {FACTS} SELECT grp AS \"group\", title, count(*) AS pages FROM facts WHERE title IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {FACTS} SELECT grp AS \"group\", title, count(DISTINCT href) AS pages FROM facts WHERE title IS NOT NULL GROUP BY ALL HAVING count(DISTINCT href) > 1")
 def rule_unique_group_scope(spark, sf_dir):
     facts = L.page_facts(read(spark, sf_dir, "pages")).select("group", F.col("html.title").alias("title"), F.col("url.href").alias("href"))
     return R.unique_violations(facts, "title", "href", ["group"]).select("group", "title", "pages")
