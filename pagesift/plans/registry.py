@@ -1,7 +1,7 @@
 """All queries of the site operators, and their SQL."""
 
-from . import captures, grammars, pages, relations, sites, stores, texts
+from . import captures, grammars, languages, pages, relations, sites, stores, texts
 
-MODULES = (pages, relations, captures, grammars, texts, sites, stores)
+MODULES = (pages, relations, captures, grammars, texts, sites, stores, languages)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
