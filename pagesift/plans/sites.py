@@ -248,12 +248,6 @@ _add(
     lambda df: df.select("id", *[S.same_scope(F.col("a"), F.col("b"), s).alias(s) for s in ("origin", "host", "domain")]),
     ("a", "b"),
 )
-_add(
-    "certificate_facts", "san VARCHAR, kind VARCHAR, bits INTEGER, curve VARCHAR, days INTEGER",
-    [(("DNS:A.example, DNS:*.a.example; RSA 2048", "2024-01-11 12:00:00"), ("a.example *.a.example", "RSA", 2048, None, 10)), (("DNS:b.example; EC P-256", "2023-12-31 23:00:00"), ("b.example", "EC", None, "P-256", -1)), ((None, "2024-01-02 00:00:00"), (None, None, None, None, 1))],
-    lambda df: df.withColumn("c", S.certificate(F.col("cert"))).select("id", F.array_join("c.san", " ").alias("san"), F.col("c.key_type").alias("kind"), F.col("c.bits").alias("bits"), F.col("c.curve").alias("curve"), S.days_left(F.col("ends").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("days")),
-    ("cert", "ends"),
-)
 _add(
     "group_by_matchers", "name VARCHAR",
     [(("/blog/a/b", "text/html"), ("posts",)), (("/blog/", "text/html"), ("posts",)), (("/x/feed?format=rss", "application/rss+xml"), ("feeds",)), (("/a.pdf", "Application/PDF; x"), ("files",)), (("/shop/item-12?q=1", None), ("items",)), (("/shop/item-x", "text/html"), ("default",)), (("/blog", "application/pdf"), ("files",))],
