@@ -1,19 +1,32 @@
-"""Structured data of pages: JSON-LD nodes at any depth, their ids and references, breadcrumbs, bylines."""
+"""Structured data of pages: nodes of JSON-LD, microdata and RDFa at any depth, what they refer to, and what they should say."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.weburl import resolve
+from pagesift.functions import markup
+from pagesift.functions.weburl import resolve, resolved
 from pagesift.sources.scratch import cut
 
-NODES = "array<struct<path: string, id: string, types: array<string>, name: string, defines: boolean, crumbs: array<string>>>"
-_TYPE = pa.list_(pa.struct([("path", pa.string()), ("id", pa.string()), ("types", pa.list_(pa.string())), ("name", pa.string()), ("defines", pa.bool_()), ("crumbs", pa.list_(pa.string()))]))
+NODES = "array<struct<path: string, id: string, types: array<string>, name: string, defines: boolean, crumbs: array<string>, properties: map<string, array<string>>>>"
+_TYPE = pa.list_(pa.struct([("path", pa.string()), ("id", pa.string()), ("types", pa.list_(pa.string())), ("name", pa.string()), ("defines", pa.bool_()), ("crumbs", pa.list_(pa.string())), ("properties", pa.map_(pa.string(), pa.list_(pa.string())))]))
+
+# Fixed values, from search engines' pages on rich results and from schema.org: properties that a type's results ask for,
+# types about the page they stand on, and date properties whose names don't say so.
+REQUIRED = {
+    "BreadcrumbList": ("itemListElement",), "Course": ("name", "description"), "Dataset": ("name", "description"), "Event": ("name", "startDate", "location"), "FAQPage": ("mainEntity",), "JobPosting": ("title", "description", "datePosted", "hiringOrganization"),
+    "LocalBusiness": ("name", "address"), "Product": ("name",), "Recipe": ("name", "image"), "Review": ("author", "itemReviewed", "reviewRating"), "VideoObject": ("name", "thumbnailUrl", "uploadDate"),
+}
+PAGES = ("WebPage", "AboutPage", "CheckoutPage", "CollectionPage", "ContactPage", "FAQPage", "ItemPage", "MedicalWebPage", "ProfilePage", "QAPage", "SearchResultsPage")
+ARTICLES = ("Article", "BlogPosting", "LiveBlogPosting", "NewsArticle", "Report", "SatiricalArticle", "ScholarlyArticle", "SocialMediaPosting", "TechArticle")
+DATES = ("uploadDate", "validFrom", "validThrough", "expires", "priceValidUntil", "availabilityStarts", "availabilityEnds")
+ISO_DATE = r"^[0-9]{4}(-[0-9]{2}){2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 
 
 def _absolute(node_id: str, base: str) -> str:
@@ -25,6 +38,17 @@ def _types(node: dict) -> list[str]:
     return [re.sub(r"^(https?://schema\.org/|schema:)", "", t) for t in (raw if isinstance(raw, list) else [raw]) if isinstance(t, str)]
 
 
+def _said(value) -> list[str]:
+    """The values of a property as texts: of a node its id, URL or name; null and empty texts are none."""
+    out = []
+    for v in value if isinstance(value, list) else [value]:
+        if isinstance(v, dict):
+            v = next((v[k] for k in ("@id", "url", "name") if isinstance(v.get(k), str)), "{}")
+        if v is not None and v != "":
+            out.append(v if isinstance(v, str) else json.dumps(v))
+    return out
+
+
 def _address(item, base: str) -> str | None:
     """The URL that a breadcrumb's item names: itself, its id or its url."""
     if isinstance(item, dict):
@@ -48,7 +72,7 @@ def walk(value, base: str) -> list[dict]:
                 crumbs = [u for e in (items if isinstance(items, list) else [items]) if isinstance(e, dict) and (u := _address(e.get("item"), base))]
             found.append({
                 "path": path, "id": _absolute(node_id, base) if isinstance(node_id, str) else None, "types": types, "name": x["name"] if isinstance(x.get("name"), str) else None,
-                "defines": isinstance(node_id, str) and any(k not in ("@id", "@context") for k in x), "crumbs": list(dict.fromkeys(crumbs)),
+                "defines": isinstance(node_id, str) and any(k not in ("@id", "@context") for k in x), "crumbs": list(dict.fromkeys(crumbs)), "properties": [(k, _said(v)) for k, v in x.items() if not k.startswith("@")],
             })
             todo += [(below(k), v) for k, v in reversed(list(x.items())) if k != "@context" and isinstance(v, (dict, list))]
     return found
@@ -62,7 +86,7 @@ def nodes(blocks: Column, url: Column) -> Column:
         for t in texts:
             try:
                 values.append(json.loads(t))
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):  # the last of what is nested beyond reading
                 continue
         return [n for v in values for n in walk(v, base) if not (isinstance(v, dict) and "@error" in v)]
 
@@ -74,10 +98,63 @@ def nodes(blocks: Column, url: Column) -> Column:
 
 
 def page_nodes(pages: DataFrame, blocks: str = "jsonld", url: str = "href") -> DataFrame:
-    """(href, path, id, types, name, defines, crumbs): one row for each node."""
+    """(href, path, id, types, name, defines, crumbs, properties): one row for each node."""
     return pages.select(F.col(url).alias("href"), F.explode(nodes(F.col(blocks), F.col(url))).alias("n")).select("href", "n.*")
 
 
+def all_blocks(jsonld: Column, html: Column, url: Column) -> Column:
+    """The texts of a page's nodes in all three syntaxes, for ``nodes``."""
+    none = F.array().cast("array<string>")
+    marked = markup.items(html, url)
+    return F.concat(F.coalesce(jsonld, none), F.coalesce(marked["microdata"], none), F.coalesce(marked["rdfa"], none))
+
+
+def _top(path: str) -> Column:
+    """Nodes that stand for themselves: a block, an entry of a list of them, or a member of @graph."""
+    return F.col(path).rlike(r"^(\d+)?$|^(\d+\.)?@graph(\.\d+)?$")
+
+
+def missing_properties(found: DataFrame, required: Mapping[str, Sequence[str]] = REQUIRED) -> DataFrame:
+    """(href, path, type, missing): nodes that stand for themselves and lack what results of their type ask for."""
+    asked = F.create_map(*[x for k, v in required.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    typed = found.where(_top("path")).select("href", "path", "properties", F.explode("types").alias("type")).withColumn("asked", F.try_element_at(asked, "type")).where("asked IS NOT NULL")
+    absent = F.filter("asked", lambda p: F.coalesce(F.size(F.try_element_at("properties", p)), F.lit(0)) < 1)
+    return typed.select("href", "path", "type", absent.alias("missing")).where("size(missing) > 0")
+
+
+def invalid_dates(found: DataFrame) -> DataFrame:
+    """(href, path, property, value): values of date properties that are no ISO 8601 date or time."""
+    said = found.select("href", "path", F.explode("properties").alias("property", "values"))
+    named = F.col("property").startswith("date") | F.col("property").endswith("Date") | F.col("property").isin(*DATES)
+    values = said.where(named).select("href", "path", "property", F.explode("values").alias("value"))
+    return values.where(~F.col("value").rlike(ISO_DATE))
+
+
+def superseded(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(href, kind, term, successor): types, properties and enumeration values of schema.org that ``terms`` (term, successor) says were replaced."""
+    iri = r"^https?://schema\.org/(\w+)$"
+    told = lambda kind, names: found.select("href", F.lit(kind).alias("kind"), F.explode(names).alias("term"))
+    values = F.transform(F.filter(F.flatten(F.map_values("properties")), lambda v: v.rlike(iri)), lambda v: F.regexp_extract(v, iri, 1))
+    used = told("type", F.col("types")).unionByName(told("property", F.map_keys("properties"))).unionByName(told("value", values))
+    return used.distinct().join(terms, "term").select("href", "kind", "term", "successor")
+
+
+def claims_apart(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """(href, path, fault): nodes about the page itself whose url isn't the canonical one, or whose name isn't in a title
+    nor a title in it. ``pages`` is (href, canonical, title, og_title)."""
+    about = found.where(_top("path") & F.arrays_overlap("types", F.array(*map(F.lit, PAGES + ARTICLES)))).join(pages, "href")
+    at = F.coalesce(resolved(F.col("href"), F.coalesce("canonical", "href")), F.col("href"))
+    prop = lambda n: F.coalesce(F.try_element_at("properties", F.lit(n)), F.array().cast("array<string>"))
+    urls = about.select("href", "path", at.alias("at"), F.explode(F.concat(prop("url"), prop("mainEntityOfPage"))).alias("url")).withColumn("url", resolved(F.col("href"), F.col("url")))
+    other = urls.where("url <> at").select("href", "path", F.concat(F.lit("names "), "url").alias("fault"))
+    folded = lambda c: F.trim(F.lower(F.regexp_replace(c, r"\s+", " ")))
+    name = folded(F.coalesce(F.get(prop("headline"), F.lit(0)), F.get(prop("name"), F.lit(0))))
+    titles = F.transform(F.array_compact(F.array("title", "og_title")), folded)
+    apart = F.forall(titles, lambda t: ~F.contains(t, F.col("called")) & ~F.contains(F.col("called"), t))
+    named = about.withColumns({"called": name, "titles": titles}).where(F.col("called").isNotNull() & (F.size("titles") > 0) & apart)
+    return other.unionByName(named.select("href", "path", F.concat(F.lit("is called "), "called").alias("fault")))
+
+
 def dangling(found: DataFrame) -> DataFrame:
     """(id, pages): references to blank nodes, or into known pages, that neither the page that refers nor the page that is
     referred to defines; with the number of pages that refer. ``found`` are the nodes of all pages."""

@@ -305,14 +305,52 @@ _add(
 
 
 def _marked(spark, sf_dir):
-    """A page for each order with JSON-LD that defines a node, refers to one of the page of its customer's key, and has a trail."""
+    """A page for each order that defines a node, refers to one of the page of its customer's key, and has a trail; as JSON-LD,
+    microdata or RDFa."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     page = lambda n: F.concat(F.lit("https://e.example/"), n.cast("string"))
-    ld = F.concat(F.lit('{"@graph": [{"@id": "#me", "name": "x"}, {"@id": "'), page(c), F.lit("#"), F.when(c % 2 == 0, "me").otherwise("you"), F.lit('"}, {"@id": "_:'), F.when(k % 3 == 0, "a").otherwise("b"), F.lit('"}, {"@id": "_:a", "name": "y"}, {"@type": "BreadcrumbList", "itemListElement": [{"item": "'), page(c), F.lit('"}]}]}'))
-    pages = read(spark, sf_dir, "orders").select(k, page(k).alias("href"), F.array(ld).alias("jsonld"))
+    there, blank = F.concat(page(c), F.lit("#"), F.when(c % 2 == 0, "me").otherwise("you")), F.when(k % 3 == 0, "a").otherwise("b")
+    ld = F.concat(F.lit('{"@graph": [{"@id": "#me", "name": "x"}, {"@id": "'), there, F.lit('"}, {"@id": "_:'), blank, F.lit('"}, {"@id": "_:a", "name": "y"}, {"@type": "BreadcrumbList", "itemListElement": [{"item": "'), page(c), F.lit('"}]}]}'))
+    item = lambda scope, own, prop, trail: F.concat(
+        F.lit(f'<main><p {scope} {own}="#me"><b {prop}="name">x</b></p><p {scope} {own}="'), there, F.lit(f'"></p><p {scope} {own}="_:'), blank,
+        F.lit(f'"></p><p {scope} {own}="_:a"><b {prop}="name"> y\n</b></p><ol {trail}><li {prop}="itemListElement" {scope}><a {prop}="item" href="/'), c.cast("string"), F.lit('">up</a></li></ol></main>'),
+    )
+    html = F.when(k % 4 == 2, item("itemscope", "itemid", "itemprop", 'itemscope itemtype="https://schema.org/BreadcrumbList"')).when(k % 4 == 3, item('typeof=""', "resource", "property", 'typeof="schema:BreadcrumbList"')).otherwise("<main></main>")
+    pages = read(spark, sf_dir, "orders").select(k, page(k).alias("href"), F.when(k % 4 < 2, F.array(ld)).alias("ld"), html.alias("html"))
+    pages = pages.withColumn("jsonld", J.all_blocks(F.col("ld"), F.col("html"), F.col("href")))
     return J.page_nodes(pages), pages.select("href", F.when(k % 5 == 0, 404).otherwise(200).alias("status"), k)
 
 
+def _products(spark, sf_dir):
+    """Nodes of a page for each part in one of three syntaxes; some lack a name, some dates are no dates."""
+    k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
+    date = F.when(size % 2 == 0, F.concat(F.lit("2024-01-"), F.lpad((size % 28 + 1).cast("string"), 2, "0"))).otherwise(F.concat(size.cast("string"), F.lit("/2024")))
+    named = lambda before, after: F.when(size % 5 > 0, F.concat(F.lit(before), name, F.lit(after))).otherwise("")
+    ld = F.concat(F.lit('{"@type": "Product", '), named('"name": "', '", '), F.lit('"releaseDate": "'), date, F.lit('", "brand": {"@type": "Brand", "name": "'), F.col("p_brand"), F.lit('"}}'))
+    item = lambda product, brand, prop: F.concat(F.lit(f"<div {product}>"), named(f"<h1 {prop}='name'>", "</h1>"), F.lit(f"<time {prop}='releaseDate' datetime='"), date, F.lit(f"'>soon</time><p {prop}='brand' {brand}>by <b {prop}='name'>"), F.col("p_brand"), F.lit("</b></div>"))
+    html = F.when(k % 3 == 1, item("itemscope itemtype='https://schema.org/Product'", "itemscope itemtype='https://schema.org/Brand'", "itemprop")).when(k % 3 == 2, item("vocab='https://schema.org/' typeof='Product'", "typeof='Brand'", "property"))
+    href = F.concat(F.lit("https://p.example/"), k.cast("string"))
+    pages = read(spark, sf_dir, "part").select(href.alias("href"), F.when(k % 3 == 0, F.array(ld)).alias("ld"), html.alias("html"))
+    return J.page_nodes(pages.withColumn("jsonld", J.all_blocks(F.col("ld"), F.col("html"), F.col("href"))))
+
+
+@query("""
+SELECT 'https://p.example/' || p_partkey AS href, '' AS path, 'Product' AS types, CASE WHEN p_size % 5 > 0 THEN p_name END AS name FROM part
+UNION ALL SELECT 'https://p.example/' || p_partkey, 'brand', 'Brand', p_brand FROM part""")
+def markup_nodes(spark, sf_dir):
+    """Nodes are the same in whichever syntax a page has them."""
+    return _products(spark, sf_dir).select("href", "path", F.array_join("types", " ").alias("types"), "name")
+
+
+@query("""
+SELECT 'https://p.example/' || p_partkey AS href, 'missing' AS fault, 'name' AS what FROM part WHERE p_size % 5 = 0
+UNION ALL SELECT 'https://p.example/' || p_partkey, 'releaseDate', p_size || '/2024' FROM part WHERE p_size % 2 <> 0""")
+def markup_faults(spark, sf_dir):
+    found = _products(spark, sf_dir)
+    missing = J.missing_properties(found).select("href", F.lit("missing").alias("fault"), F.array_join("missing", " ").alias("what"))
+    return missing.unionByName(J.invalid_dates(found).select("href", F.col("property").alias("fault"), F.col("value").alias("what")))
+
+
 _PAGE = "'https://e.example/' || "
 
 
