@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -39,7 +40,10 @@ class _Element:
 class _Items(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.open = url, []
+        self.url, self.open, self.tags = url, [], Counter()
+        #: Of the open elements: the items of each syntax, and those whose text is a value; so that depth costs nothing.
+        self.around: dict[str, list[dict]] = {k: [] for k in SYNTAXES}
+        self.texts: list[_Element] = []
         self.found: dict[str, list[dict]] = {k: [] for k in SYNTAXES}
 
     def _value(self, e: _Element):
@@ -60,7 +64,7 @@ class _Items(HTMLParser):
             first.setdefault(k, v or "")
         e = _Element(tag, first)
         for syntax, (scope, types, prop, ids) in SYNTAXES.items():
-            owner = next((o.items[syntax] for o in reversed(self.open) if syntax in o.items), None)
+            owner = self.around[syntax][-1] if self.around[syntax] else None
             if scope in first:
                 node = e.items[syntax] = {}
                 if named := terms(first.get(types, "")):
@@ -77,16 +81,26 @@ class _Items(HTMLParser):
                     owner.setdefault(name, []).append(value)
         if tag not in VOID:
             self.open.append(e)
+            self.tags[tag] += 1
+            for syntax, node in e.items.items():
+                self.around[syntax].append(node)
+            if e.text is not None:
+                self.texts.append(e)
 
     def handle_endtag(self, tag):
-        if any(e.tag == tag for e in self.open):
-            while self.open.pop().tag != tag:
-                pass
+        while self.tags[tag]:
+            e = self.open.pop()
+            self.tags[e.tag] -= 1
+            for syntax in e.items:
+                self.around[syntax].pop()
+            if e.text is not None:
+                self.texts.pop()
+            if e.tag == tag:
+                break
 
     def handle_data(self, data):
-        for e in self.open:
-            if e.text is not None:
-                e.text.append(data)
+        for e in self.texts:
+            e.text.append(data)
 
 
 def _plain(node: dict) -> dict:

@@ -27,6 +27,11 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(part(url, 2)), r":\d+$", "")
 
 
+def authority(url: Column) -> Column:
+    """The host with its port, if it has one."""
+    return F.lower(part(url, 2))
+
+
 def origin(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), F.lower(part(url, 2)))
 

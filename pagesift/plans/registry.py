@@ -1,7 +1,7 @@
 """All queries of the site operators, and their SQL."""
 
-from . import captures, certificates, grammars, languages, pages, relations, sites, stores, texts
+from . import captures, certificates, crawling, grammars, languages, pages, relations, sites, stores, texts
 
-MODULES = (pages, relations, captures, certificates, grammars, texts, sites, stores, languages, certificates)
+MODULES = (pages, relations, captures, certificates, crawling, grammars, texts, sites, stores, languages, certificates, crawling)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}

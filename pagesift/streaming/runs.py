@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Phases in order; a rule settles with the last one that it reads.
 PHASES = ("crawl", "resources", "probes", "site", "lint")
@@ -22,19 +19,3 @@ def settled(rules: DataFrame, done: DataFrame, judged: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase"))
     upto = done.agg(F.coalesce(F.max(place), F.lit(0)).alias("upto"))
     return rules.withColumn("place", place).join(F.broadcast(upto)).where("place <= upto").join(judged.select("rule"), "rule", "left_anti").select("rule", "phase")
-
-
-def running_state(stream: DataFrame, run: str, kind: str) -> DataFrame:
-    """(run, events, pages) of a stream of events, updated with each batch; state per run is two numbers."""
-
-    def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        events, pages = state.get if state.exists else (0, 0)
-        for b in batches:
-            events, pages = events + len(b), pages + int((b[kind] == "view").sum())
-        state.update((events, pages))
-        yield pd.DataFrame({run: [key[0]], "events": [events], "pages": [pages]})
-
-    schema = f"{run} {dict(stream.dtypes)[run]}, events long, pages long"
-    return stream.groupBy(run).applyInPandasWithState(step, schema, "events long, pages long", "update", GroupStateTimeout.NoTimeout)

@@ -55,28 +55,3 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: s
     on = [F.col(k) == F.col(f"__{k}") for k in keys]
     bound = (F.col(other) >= F.col(at)) & (F.col(other) <= F.col(at) + F.expr(f"INTERVAL {within}"))
     return a.join(b, [*on, bound]).drop(*[f"__{k}" for k in keys])
-
-
-def bucket_states(stream: DataFrame, by: str, at: str, per_second: float, burst: float) -> DataFrame:
-    """(by, events, refused, level) of a stream: a bucket for each key that leaks ``per_second`` and takes 1 with each event
-    while it has room for it; an event beyond ``burst`` is refused. State is the level and the last time; events of a
-    micro-batch are taken in the order of their times."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, batches, state):
-        import pandas as pd
-
-        level, last, events, refused = state.get if state.exists else (0.0, 0.0, 0, 0)
-        times = sorted(t for b in batches for t in b[at].map(pd.Timestamp.timestamp))
-        for t in times:
-            level, last = max(0.0, level - max(0.0, t - last) * per_second), max(last, t)
-            events += 1
-            if level + 1 <= burst:
-                level += 1
-            else:
-                refused += 1
-        state.update((level, last, events, refused))
-        yield pd.DataFrame({by: [key[0]], "events": [events], "refused": [refused], "level": [level]})
-
-    schema = f"{by} {dict(stream.dtypes)[by]}, events long, refused long, level double"
-    return stream.groupBy(by).applyInPandasWithState(step, schema, "level double, last double, events long, refused long", "update", GroupStateTimeout.NoTimeout)

@@ -164,12 +164,3 @@ def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
     once = windows.drained(windows.first_seen(stream(), "ts", ["k"]).select("k", "ts", "value"), f"{tmp_path}/first", f"{tmp_path}/c2")
     # The first a is forgotten when the second comes; the first b isn't yet when the last comes, as its own batch doesn't move the watermark.
     assert sorted((r.k, r.value) for r in once.collect()) == [("a", 1.0), ("a", 2.0), ("b", 1.0)]
-
-
-def test_bucket_that_refuses(spark, tmp_path):
-    rows = spark.createDataFrame([("d", f"2024-01-01 00:00:{s:02d}") for s in (0, 0, 1, 2, 30)], "d string, t string").withColumn("t", F.col("t").cast("timestamp"))
-    rows.write.parquet(f"{tmp_path}/in")
-    stream = windows.bucket_states(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "d", "t", 0.5, 2.0)
-    stream.writeStream.format("memory").queryName("buckets").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    got = spark.sql("SELECT events, refused, level FROM buckets").first()
-    assert (got.events, got.refused, got.level) == (5, 1, 1.0)

@@ -314,14 +314,6 @@ def test_reports(spark, tmp_path):
     assert '"rank":50.0' in reports.sarif_results(found).first().result
 
 
-def test_running_state_of_a_stream(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "view"), (1, "click"), (2, "view")], "run int, kind string")
-    rows.write.parquet(f"{tmp_path}/in")
-    stream = runs.running_state(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "run", "kind")
-    stream.writeStream.format("memory").queryName("running").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(spark.sql("SELECT run, events, pages FROM running").collect()) == [(1, 2, 1), (2, 1, 1)]
-
-
 def test_stream_windows_with_watermark(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", 1.0), ("2024-01-01 05:00:00", 2.0)], "ts string, value double").select(F.col("ts").cast("timestamp"), "value")
     rows.write.parquet(f"{tmp_path}/in")

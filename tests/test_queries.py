@@ -27,7 +27,7 @@ def duck():
 
 
 #: Queries that SQL can't state on whole tables, with the test that holds them against brute force.
-BRUTE_FORCE = {"graph_pagerank": "test_whole_job.test_graph_ranks_settle"}
+BRUTE_FORCE = {"graph_pagerank": "test_whole_job.test_graph_ranks_settle", "diverse_order": "test_scheduling.test_query_in_the_order_of_picks"}
 
 
 def test_every_query_is_held_against_something():
