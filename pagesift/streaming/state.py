@@ -152,7 +152,8 @@ class Seen(StatefulProcessor):
 
 
 def once_within(stream: DataFrame, keys: list[str], ttl: str) -> DataFrame:
-    """One row for each key until ``ttl`` has gone by since, on the clock: what was seen longer ago passes again."""
+    """One row for each key until ``ttl`` has gone by since, on the clock: what was seen longer ago passes again.
+    As time goes by without data, such a stream never ends by itself; stop it, or let a trigger by time run it."""
     with_timers(stream.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
     return stream.groupBy(*keys).transformWithStateInPandas(Seen(stream.columns, _duration(ttl)), schema, "Append", "ProcessingTime")

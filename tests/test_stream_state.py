@@ -37,13 +37,23 @@ def test_a_run_goes_on_while_events_come(spark, tmp_path):
 
 
 def test_seen_keys_pass_again_when_forgotten(spark, tmp_path):
-    pause = {"at": 0.0}
-
-    def make(source):
-        if pause["at"]:
-            time.sleep(max(0, pause["at"] - time.time()))
-        pause["at"] = time.time() + 8
-        return state.once_within(source, ["k"], "6 seconds")
-
-    told = stepped(spark, tmp_path, [[("a", "01 00:00:00"), ("a", "01 00:00:01"), ("b", "01 00:00:00")], [("a", "01 00:00:02")]], make, "append")
-    assert sorted(r.k for _, r in told) == ["a", "a", "b"]
+    os.makedirs(f"{tmp_path}/in")
+    put = lambda *keys: spark.createDataFrame([(k, 1) for k in keys], "k string, n int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    told = []
+    stream = state.once_within(spark.readStream.schema("k string, n int").parquet(f"{tmp_path}/in"), ["k"], "8 seconds")
+    query = stream.writeStream.foreachBatch(lambda df, n: told.extend(r.k for r in df.collect())).option("checkpointLocation", f"{tmp_path}/c").outputMode("append").start()
+
+    def waited(n):
+        until = time.time() + 40
+        while len(told) < n and time.time() < until:
+            time.sleep(0.2)
+        return sorted(told)
+
+    try:
+        put("a", "a", "b")
+        assert waited(2) == ["a", "b"]
+        time.sleep(10)
+        put("a")
+        assert waited(3) == ["a", "a", "b"]
+    finally:
+        query.stop()
