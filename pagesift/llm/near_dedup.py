@@ -162,9 +162,12 @@ def near_duplicates(df: DataFrame, part: int = 80, whole: int = 100, words: int
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay, one of each group, with its columns. Ids are taken to be unique."""
-    gone = near_duplicates(df, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(id_col)
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    """The rows of ``df`` that stay, one of each group, with its columns: the one with the smallest id, of rows that share it
+    the one whose text has the smallest hash; a null id comes after all others. A row is told by its id and its text,
+    so that of two texts with one id either may go alone. Rows that repeat both stay or go together."""
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("__row")
+    gone = near_duplicates(df.select(row, text_col), id_col="__row", text_col=text_col, **options).where(~F.col("kept")).select("__row")
+    return df.withColumn("__row", row).join(gone, "__row", "left_anti").select(*df.columns)
 
 
 def op5_near_dedup(spark, sf_dir):

@@ -36,3 +36,15 @@ def test_older_versions_of_a_store(spark, tmp_path):
     assert len(store.shards()) < 4
     bare = sharding.shard_arrivals(parts, f"file://{tmp_path}/bare")
     assert bare.read().count() == 4
+
+
+def test_near_stage_tells_rows_by_id_and_text(spark):
+    """Texts that share an id: only the one that is a near copy goes, the other stays, and so do texts without words and null ids."""
+    from pagesift.llm.near_dedup import representatives
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (7, base + " more"), (7, "an unrelated text with the same id as another"), (None, base + " less"), (9, None), (9, ""), (10, "x " * 50_000), (11, "x " * 50_000 + "y"), (None, "an unrelated text with the same id as another one")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, id int")
+    kept = representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r.id for r in kept.collect())) == [0, 2, 4, 5, 6, 7] and representatives(df.limit(0)).count() == 0
