@@ -35,7 +35,7 @@ TYPE = pa.struct([
     ("links", pa.struct([("internal", _L), ("external", _L), ("nofollow", _L), ("sponsored", _L), ("ugc", _L), ("rel", _LISTS), ("regions", pa.map_(_S, _LISTS))])),
     ("images", pa.list_(pa.struct([("src", _S), ("alt", _S), ("width", _S), ("height", _S), ("srcset", _S), ("loading", _S), ("noscript", pa.bool_())]))),
     ("rels", _LISTS), ("inputs", pa.list_(pa.struct([("type", _S), ("autocomplete", _S), ("inputmode", _S)]))), ("text", pa.int32()),
-    ("resources", pa.list_(pa.struct([("url", _S), ("kind", _S), ("origin", _S), ("integrity", _S), ("crossorigin", _S)]))), ("author", _S), ("published", _S),
+    ("resources", pa.list_(pa.struct([("url", _S), ("kind", _S), ("origin", _S), ("integrity", _S), ("crossorigin", _S)]))), ("resources_dropped", pa.int32()), ("author", _S), ("published", _S),
 ])
 DDL = (
     "struct<lang: string, dir: string, charset: struct<declared: string, offset: int>, title: string, h1: array<string>, canonical: string, meta: map<string, string>,"
@@ -45,7 +45,7 @@ DDL = (
     " links: struct<internal: array<string>, external: array<string>, nofollow: array<string>, sponsored: array<string>, ugc: array<string>, rel: map<string, array<string>>, regions: map<string, map<string, array<string>>>>,"
     " images: array<struct<src: string, alt: string, width: string, height: string, srcset: string, loading: string, noscript: boolean>>,"
     " rels: map<string, array<string>>, inputs: array<struct<type: string, autocomplete: string, inputmode: string>>, text: int,"
-    " resources: array<struct<url: string, kind: string, origin: string, integrity: string, crossorigin: string>>, author: string, published: string>"
+    " resources: array<struct<url: string, kind: string, origin: string, integrity: string, crossorigin: string>>, resources_dropped: int, author: string, published: string>"
 )
 
 
@@ -127,8 +127,9 @@ _CHARSET = re.compile(r"""<meta\s[^>]*?charset\s*=\s*["']?\s*([^\s"';>]+)[^>]*>"
 _WEB = re.compile("https?:")
 
 
-def extract(html: str, url: str, scope: str = "host", most: int = 200) -> dict:
-    """The facts of one page; links are internal if they share the page's ``scope`` (host or origin). Lists of resources are as long as ``most``, a limit of the report on a page."""
+def extract(html: str, url: str, scope: str = "host", most: int | None = None) -> dict:
+    """The facts of one page; links are internal if they share the page's ``scope`` (host or origin). All resources are listed, or with ``most``, a limit
+    of the report on a page, the first ones, and ``resources_dropped`` counts the others."""
     reader = _Reader(url)
     reader.feed(html)
     reader.close()
@@ -196,11 +197,11 @@ def extract(html: str, url: str, scope: str = "host", most: int = 200) -> dict:
         },
         "images": [{"src": a.get("src", ""), **{k: a.get(k) for k in ("alt", "width", "height", "srcset", "loading")}, "noscript": "noscript" in names} for _, a, names, _ in of("img")],
         "rels": [(k, _distinct(v)) for k, v in rels.items()], "inputs": [{"type": a.get("type", "text").lower(), "autocomplete": a.get("autocomplete"), "inputmode": a.get("inputmode")} for _, a, _, _ in of("input")],
-        "text": len("".join(reader.main_words if has_main else reader.words).split()), "resources": list(resources.values())[:most], "author": (author or "").strip() or None, "published": (published or "").strip() or None,
+        "text": len("".join(reader.main_words if has_main else reader.words).split()), "resources": list(resources.values())[:most], "resources_dropped": max(0, len(resources) - most) if most is not None else 0, "author": (author or "").strip() or None, "published": (published or "").strip() or None,
     }
 
 
-def page(html: Column, url: Column, scope: str = "host", most: int = 200) -> Column:
+def page(html: Column, url: Column, scope: str = "host", most: int | None = None) -> Column:
     """The struct of all facts of a page; null if its HTML or its URL is."""
 
     @F.arrow_udf(DDL)

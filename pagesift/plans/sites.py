@@ -71,7 +71,7 @@ def server_disclosure(spark, sf_dir):
         "x-varnish": F.col("o_orderkey").cast("string"), "accept": F.lit("x"),
     }
     orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("h"), (F.col("o_custkey") % 50).cast("string")).alias("host"), F.col("o_orderkey").alias("url"), F.col("o_orderkey").alias("place"), F.explode(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])).alias("field", "value"))
-    return S.disclosures(orders.where("value IS NOT NULL"))
+    return S.disclosures(orders.where("value IS NOT NULL"), hosted=("cloudflare", "cloudfront"))
 
 
 @query(

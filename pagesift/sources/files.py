@@ -122,6 +122,21 @@ def _first(name: str, text: str) -> str | None:
     return _plain(m[1]) or None if m else None
 
 
+def unpacked(body: bytes, most: int = MOST_BYTES) -> bytes | None:
+    """All members of a gzip file; None where they are more than ``most`` bytes."""
+    out, size = [], 0
+    while body[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(body, most - size + 1))
+        size += len(out[-1])
+        if size > most:
+            return None
+        if not member.eof:
+            raise zlib.error("the file ends too early")
+        body = member.unused_data
+    return b"".join(out)
+
+
 def sitemap_file(body: bytes | None, content_type: str | None, url: str | None) -> dict:
     """One file: its entries and what is wrong with it. A gzip file is known by its first bytes, a text one by its type or name."""
     kind = (content_type or "").split(";")[0].strip().lower()
@@ -129,7 +144,9 @@ def sitemap_file(body: bytes | None, content_type: str | None, url: str | None)
         return {"entries": [], "error": "no sitemap" if kind == "text/html" else "no answer"}
     try:
         if body[:2] == b"\x1f\x8b":
-            body = zlib.decompressobj(31).decompress(body, MOST_BYTES)
+            body = unpacked(body)
+            if body is None:
+                return {"entries": [], "error": f"unpacks to more than {MOST_BYTES} bytes"}
         text = body.decode("utf-8", "replace")
     except (zlib.error, gzip.BadGzipFile) as e:
         return {"entries": [], "error": f"does not unpack: {e}"}
