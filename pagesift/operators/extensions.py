@@ -6,14 +6,17 @@ An extractor runs only if a rule reads its fact: ``with_facts`` adds the columns
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
+from pagesift.operators.caching import misses, newest
 from pagesift.operators.rules import KEYWORDS, Rule
 from pagesift.operators.rulesets import ConfigError
+from pagesift.sources.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,42 @@ class SiteExtractor:
     version: int = 1
 
 
+def table_function(id: str, per: str, handler: type, returns: str, gather: Callable[[DataFrame], DataFrame], inputs: tuple[str, ...], version: int = 1) -> SiteExtractor:
+    """A site extractor by a Python table function: ``handler.eval`` gets the ``inputs`` of one subject and yields its facts,
+    ``returns`` being their DDL. ``gather`` makes the table of subjects (``per``, inputs) from the pages, by aggregates, so that no
+    subject's pages come together in one task. A subject for which nothing is yielded has null; of several rows one counts."""
+
+    def extract(pages: DataFrame) -> DataFrame:
+        subjects = gather(pages)
+        called = F.udtf(handler, returnType=returns)(*[F.col(c).outer() for c in inputs])
+        names = StructType.fromDDL(returns).fieldNames()
+        told = subjects.lateralJoin(called, how="left").groupBy(per).agg(F.first(F.when(F.col(names[0]).isNotNull(), F.struct(*names)), ignorenulls=True).alias(id))
+        return told.select(per, id)
+
+    return SiteExtractor(id, per, extract, version)
+
+
+def kept_for(extractor: SiteExtractor, entries: str, seconds: int, now: Column | None = None) -> SiteExtractor:
+    """The extractor with its results kept under ``entries``, a folder all executors see: subjects whose entry, by the extractor's
+    id and version, is younger than ``seconds`` are not extracted again. Pages of other subjects aren't given to the extractor."""
+
+    def extract(pages: DataFrame) -> DataFrame:
+        spark, at, per = pages.sparkSession, now if now is not None else F.current_timestamp(), extractor.per
+        asked = pages.select(per).distinct()
+        shape = extractor.extract(pages.limit(0)).schema
+        schema = StructType([*shape.fields, StructField("version", LongType()), StructField("stored_at", TimestampType())])
+        folder = f"{entries}/{extractor.id}"
+        spark.createDataFrame([], schema).write.mode("append").parquet(folder)  # so that there is one to read
+        old = spark.read.schema(schema).parquet(folder).where(F.col("version") == extractor.version)
+        lost = misses(asked, old, per, at, seconds)
+        fresh = extractor.extract(pages.join(lost, per, "left_semi")).select(*shape.fieldNames())
+        cut(fresh.withColumns({"version": F.lit(extractor.version).cast("long"), "stored_at": at})).write.mode("append").parquet(folder)
+        every = spark.read.schema(schema).parquet(folder).where(F.col("version") == extractor.version)
+        return newest(every.select(per, extractor.id, "stored_at"), [per], "stored_at").join(asked, per, "left_semi").select(per, extractor.id)
+
+    return replace(extractor, extract=extract)
+
+
 @dataclass
 class Extensions:
     pages: dict[str, PageExtractor] = field(default_factory=dict)
@@ -124,6 +163,31 @@ class Extensions:
         roots = {p.split(".")[0] for p in paths} | {p.split(".")[3] for p in paths if p.startswith(("site.origins.*.", "site.hosts.*."))}
         return roots & {*self.pages, *self.resources, *self.sites}
 
+    def needed(self, rules: Iterable[Rule]) -> list[PageExtractor]:
+        """The page extractors that the rules read."""
+        names = self.wanted(rules)
+        return [e for n, e in self.pages.items() if n in names]
+
+    def rule(self, rule_id: str, spec: Mapping[str, Any]) -> Rule:
+        """The rule that a specification's ``maker`` makes of its ``options``, under the id, level and guards given there."""
+        make = self.makers.get(spec["maker"])
+        if make is None:
+            raise ConfigError(f"{rule_id}: no maker is named {spec['maker']}")
+        made = make(**spec.get("options", {}))
+        return replace(made, id=rule_id, severity=spec.get("severity") or made.severity, when={**made.when, **spec.get("when", {})})
+
+    def write(self, name: str, findings: DataFrame, path: str) -> None:
+        """Findings in the form of a registered formatter."""
+        if name not in self.formatters:
+            raise ConfigError(f"no formatter is named {name}; there are {sorted(self.formatters)}")
+        self.formatters[name](findings, path)
+
+    def urls(self, name: str, *args: Any, **options: Any) -> DataFrame:
+        """The URLs of a registered source."""
+        if name not in self.sources:
+            raise ConfigError(f"no source is named {name}; there are {sorted(self.sources)}")
+        return self.sources[name](*args, **options)
+
     def with_facts(self, pages: DataFrame, rules: Iterable[Rule]) -> DataFrame:
         """``pages`` with the columns of the page extractors that the rules read."""
         names = self.wanted(rules)
