@@ -61,8 +61,8 @@ def table_function(id: str, per: str, handler: type, returns: str, gather: Calla
         subjects = gather(pages)
         called = F.udtf(handler, returnType=returns)(*[F.col(c).outer() for c in inputs])
         names = StructType.fromDDL(returns).fieldNames()
-        told = subjects.lateralJoin(called, how="left").groupBy(per).agg(F.first(F.when(F.col(names[0]).isNotNull(), F.struct(*names)), ignorenulls=True).alias(id))
-        return told.select(per, id)
+        told = subjects.lateralJoin(called).groupBy(per).agg(F.first(F.struct(*names)).alias(id))
+        return subjects.select(per).distinct().join(told, per, "left").select(per, id)
 
     return SiteExtractor(id, per, extract, version)
 
