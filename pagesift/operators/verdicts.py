@@ -41,7 +41,23 @@ def untested(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rules.join(verdicts.select("rule").distinct(), "rule", "left_anti")
 
 
-def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, folding: bool = True) -> DataFrame:
+def sort_key(text: Column, collation: str | None = None) -> Column:
+    """What texts are sorted by: themselves, byte by byte, or their place in a collation (``UNICODE`` sorts by letters, then accents,
+    then case), of texts that it holds equal byte by byte."""
+    return F.struct((F.collate(text, collation) if collation else text).alias("in_order"), text.alias("text"))
+
+
+def _least(text: str, collation: str | None) -> Column:
+    return F.min(sort_key(F.col(text), collation))["text"] if collation else F.min(text)
+
+
+def _sorted(texts: Column, collation: str | None) -> Column:
+    if not collation:
+        return F.array_sort(texts)
+    return F.transform(F.array_sort(F.transform(texts, lambda t: sort_key(t, collation))), lambda k: k["text"])
+
+
+def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, folding: bool = True, collation: str | None = None) -> DataFrame:
     """Page findings (rule, group, url, text, score) folded by template.
 
     What a finding says is its text together with its ``variables`` and ``locations``, if there are such columns: findings
@@ -53,7 +69,8 @@ def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOL
     groups by rule and text. Otherwise a folded cell is one group finding, and others stay page findings,
     with an advisory where over a fifth of ``least`` pages or more fails. Result: scope, rule, group (null
     for a site finding), url (the first), text, score, occurrences, coverage, samples (three first URLs),
-    groups. Each step groups by cell or text, after counting within tasks.
+    groups. Each step groups by cell or text, after counting within tasks. URLs and groups are in the order of ``collation``,
+    by default that of their bytes.
     """
     columns = ["scope", "rule", "group", "url", "text", "score", "occurrences", "coverage", "samples", "groups"]
     no_list = F.lit(None).cast("array<string>")
@@ -70,7 +87,7 @@ def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOL
     cells = (
         findings.withColumn("says", said)
         .groupBy("group", "rule")
-        .agg(F.count_distinct("url").alias("failed"), F.count_distinct("says").alias("said"), F.min("says").alias("says"), F.min("text").alias("text"), F.max("score").alias("score"), F.min("url").alias("url"))
+        .agg(F.count_distinct("url").alias("failed"), F.count_distinct("says").alias("said"), F.min("says").alias("says"), F.min("text").alias("text"), F.max("score").alias("score"), _least("url", collation).alias("url"))
         .join(applicable, ["group", "rule"], "left")
         .withColumn("applicable", F.coalesce("applicable", "failed"))
         .withColumn("folded", (F.col("applicable") >= least) & (F.col("failed") / F.col("applicable") >= threshold))
@@ -82,7 +99,7 @@ def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOL
     kind = F.when(F.col("whole") & (F.col("alike") > 1), "site").when(F.col("folded"), "group").otherwise("page")
     cells = cells.withColumn("scope", kind)
     urls = findings.select("group", "rule", "url").distinct()
-    sampled = urls.withColumn("r", F.row_number().over(Window.partitionBy("group", "rule").orderBy("url"))).where("r <= 3").groupBy("group", "rule").agg(F.array_sort(F.collect_list("url")).alias("samples"))
+    sampled = urls.withColumn("r", F.row_number().over(Window.partitionBy("group", "rule").orderBy(sort_key(F.col("url"), collation)))).where("r <= 3").groupBy("group", "rule").agg(_sorted(F.collect_list("url"), collation).alias("samples"))
     cells = cells.join(sampled, ["group", "rule"])
     tenths = scoring.tenths(F.col("score"))
     coverage = lambda failed, of: F.round(failed / of, 2)
@@ -90,7 +107,7 @@ def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOL
     sites = (
         cells.where("scope = 'site'")
         .groupBy("rule", "says")
-        .agg(F.min("text").alias("text"), F.min("url").alias("url"), scoring.tenths(F.max("score")).alias("score"), F.sum("failed").alias("occurrences"), F.sum("applicable").alias("applicable"), F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, 3).alias("samples"), F.array_sort(F.collect_list("group")).alias("groups"))
+        .agg(F.min("text").alias("text"), _least("url", collation).alias("url"), scoring.tenths(F.max("score")).alias("score"), F.sum("failed").alias("occurrences"), F.sum("applicable").alias("applicable"), F.slice(_sorted(F.flatten(F.collect_list("samples")), collation), 1, 3).alias("samples"), _sorted(F.collect_list("group"), collation).alias("groups"))
         .select(F.lit("site").alias("scope"), "rule", F.lit(None).cast("string").alias("group"), "url", "text", "score", "occurrences", coverage(F.col("occurrences"), F.col("applicable")).alias("coverage"), "samples", "groups")
     )
     pages = findings.join(cells.where("scope = 'page'").select("group", "rule"), ["group", "rule"], "left_semi").select(F.lit("page").alias("scope"), "rule", "group", "url", "text", "score", F.lit(None).cast("long").alias("occurrences"), F.lit(None).cast("double").alias("coverage"), no_list.alias("samples"), no_list.alias("groups"))
@@ -102,8 +119,8 @@ def fold(findings: DataFrame, applicable: DataFrame, threshold: float = THRESHOL
     return out if others is None else out.unionByName(others)
 
 
-def urgency(findings: DataFrame, total: int, by: str = "severity") -> list[Column]:
+def urgency(findings: DataFrame, total: int, by: str = "severity", collation: str | None = None) -> list[Column]:
     """Sort keys: level first unless by impact, then score times pages touched, then rule and url."""
     pages = F.coalesce(F.col("occurrences"), F.size("urls").cast("long") if "urls" in findings.columns else F.lit(None), F.when(F.col("scope") == "site", F.lit(total)).otherwise(F.lit(1)))
     first = [scoring.level_rank(F.col("severity")).asc()] if by == "severity" else []
-    return [*first, (F.col("score") * pages).desc(), F.col("rule").asc(), F.col("url").asc()]
+    return [*first, (F.col("score") * pages).desc(), *[sort_key(F.col(c), collation).asc() for c in ("rule", "url")]]

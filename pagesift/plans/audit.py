@@ -70,7 +70,7 @@ def capture_facts(captures: DataFrame, groups: Mapping[str, Sequence[str]] | Non
 
 def audit(
     captures: DataFrame, rulesets: Sequence[str] = ("recommended",), own: Mapping[str, Mapping] | None = None, groups: Mapping[str, Sequence[str]] | None = None, site: DataFrame | None = None,
-    extensions: Extensions | None = None, store: FactStore | None = None, run: str = "now", languages: LanguageModel | None = None, linked: Mapping[str, DataFrame] | None = None, **options,
+    extensions: Extensions | None = None, store: FactStore | None = None, run: str = "now", languages: LanguageModel | None = None, linked: Mapping[str, DataFrame] | None = None, collation: str | None = "UNICODE", **options,
 ) -> dict[str, DataFrame]:
     """facts, cells (every judged rule and page), verdicts, findings (folded), tallies, counters and rating of captures.
 
@@ -93,9 +93,9 @@ def audit(
     cells = cut(R.evaluate(pages, page_rules, ["group", "href"]))
     verdicts = V.verdict_cells(cells)
     failing = cut(R.findings(pages, page_rules, ["group", "href"]))
-    found = V.fold(failing.select("rule", "group", F.col("href").alias("url"), "text", "score"), verdicts.select("group", "rule", "applicable"))
+    found = V.fold(failing.select("rule", "group", F.col("href").alias("url"), "text", "score"), verdicts.select("group", "rule", "applicable"), collation=collation)
     for spec in unique:
-        found = found.unionByName(unique_findings(pages, spec))
+        found = found.unionByName(unique_findings(pages, spec, collation))
     for kind, per, name in (("origins", "origin", "url.origin"), ("hosts", "host", "url.host")):
         if any(r.fact.startswith(f"site.{kind}.") for r in chosen):
             subjects = ext.subjects(facts.withColumn(per, F.col(name)), chosen, per, (linked or {}).get(kind))
@@ -118,7 +118,7 @@ def rule_tallies(cells: DataFrame) -> DataFrame:
     return cells.groupBy("rule").agg(F.count("*").alias("checks"), F.count_if(~F.col("ok")).alias("failed"), F.count_distinct(F.when(~F.col("ok"), F.coalesce("group", F.lit("")))).alias("groups"))
 
 
-def unique_findings(pages: DataFrame, spec: Mapping) -> DataFrame:
+def unique_findings(pages: DataFrame, spec: Mapping, collation: str | None = None) -> DataFrame:
     """Findings of a unique rule, in the form that folding gives: one for each value that pages share, with three of them."""
     value = R.fact(pages, spec["fact"]).column
     guards = [R.expectation(R.fact(pages, p), w if isinstance(w, Mapping) else {"const": w}) for p, w in spec["when"].items()]
@@ -126,7 +126,7 @@ def unique_findings(pages: DataFrame, spec: Mapping) -> DataFrame:
     within = ["group"] if spec["scope"] == "group" else []
     shared = R.shared_values(kept.select("group", "href", value.cast("string").alias("value")), "value", "href", within)
     by = [*within, "value", "pages"]
-    listed = first_urls(shared, by)
+    listed = first_urls(shared, by, collation=collation)
     text = F.concat(F.lit(f"{spec['fact']} is shared by "), F.col("pages").cast("string"), F.lit(" pages"))
     group = F.col("group") if within else F.lit(None).cast("string")
     return listed.select(
@@ -135,12 +135,14 @@ def unique_findings(pages: DataFrame, spec: Mapping) -> DataFrame:
     )
 
 
-def first_urls(shared: DataFrame, by: list[str], k: int = 3) -> DataFrame:
+def first_urls(shared: DataFrame, by: list[str], k: int = 3, collation: str | None = None) -> DataFrame:
     """(by, samples): the first ``k`` URLs of each, cut within tasks before the shuffle."""
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("href"))
-    return shared.withColumn("place", place).where(F.col("place") <= k).groupBy(*by).agg(F.array_sort(F.collect_list("href")).alias("samples"))
+    key = V.sort_key(F.col("href"), collation)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    first = shared.withColumn("place", place).where(F.col("place") <= k).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "href"))).alias("s"))
+    return first.select(*by, F.col("s.href").alias("samples"))
 
 
 def summary(facts: DataFrame, findings: DataFrame, verdicts: DataFrame, rules: Sequence[str]) -> DataFrame:

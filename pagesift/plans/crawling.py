@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pagesift.functions import html as H
 from pagesift.functions import urls as U
 from pagesift.operators import scheduling as S
-from pagesift.plans.pages import FACTS, read
+from pagesift.plans import lint as L
+from pagesift.plans.pages import CELLS, FACTS, read
 from pagesift.sources.scratch import shared
 from pagesift.streaming import state as T
+from pagesift.streaming.settle import CellStore
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,4 +60,18 @@ SQL["stream_users"] = """
 SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'view') AS pages, max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS ended
 FROM events GROUP BY user_id"""
 
-QUERIES.update(diverse_order=diverse_order, adaptive_modes=adaptive_modes, stream_users=stream_users)
+def settled_cells(spark, sf_dir):
+    """Cells of all pages, judged in two batches and once again: pages of the first aren't judged in the second."""
+    facts = L.page_facts(read(spark, sf_dir, "pages"))
+    pages = facts.join(read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("href"), F.sha2("html", 256).alias("digest")), "page_id")
+    store = CellStore(spark)
+    store.settle(pages.where("page_id % 2 = 0"), 0, L.RULES[:5])
+    for _ in range(2):
+        store.settle(pages, 1, L.RULES)
+    return store.cells().where("ok IS NOT NULL").select("group", "href", "rule", "ok", "score", "batch")
+
+
+SQL["settled_cells"] = f"""WITH {CELLS.replace("href, rule, ok, score FROM (", "raw AS href, page_id, rule, ok, score FROM (")}
+SELECT grp AS "group", href, rule, ok, score, CASE WHEN page_id % 2 = 0 AND rule IN ('html/title/missing', 'html/title/length', 'html/h1/single', 'html/charset/utf-8', 'html/lang/pattern') THEN 0 ELSE 1 END::BIGINT AS batch FROM cells"""
+
+QUERIES.update(settled_cells=settled_cells, diverse_order=diverse_order, adaptive_modes=adaptive_modes, stream_users=stream_users)
