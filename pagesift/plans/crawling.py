@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagesift.functions import html as H
 from pagesift.functions import urls as U
 from pagesift.operators import scheduling as S
+from pagesift.operators.patterns import glob_matches
 from pagesift.plans import lint as L
 from pagesift.plans.pages import CELLS, FACTS, read
 from pagesift.sources.scratch import shared
@@ -74,4 +75,18 @@ def settled_cells(spark, sf_dir):
 SQL["settled_cells"] = f"""WITH {CELLS.replace("href, rule, ok, score FROM (", "raw AS href, page_id, rule, ok, score FROM (")}
 SELECT grp AS "group", href, rule, ok, score, CASE WHEN page_id % 2 = 0 AND rule IN ('html/title/missing', 'html/title/length', 'html/h1/single', 'html/charset/utf-8', 'html/lang/pattern') THEN 0 ELSE 1 END::BIGINT AS batch FROM cells"""
 
-QUERIES.update(settled_cells=settled_cells, diverse_order=diverse_order, adaptive_modes=adaptive_modes, stream_users=stream_users)
+def glob_table_join(spark, sf_dir):
+    """Customers' names with a table of globs, two for each supplier: by last figures, and by a beginning that all share."""
+    key = F.lpad(F.col("s_suppkey").cast("string"), 4, "0")
+    globs = F.explode(F.array(F.concat(F.lit("*"), key), F.concat(F.lit("customer#*"), F.substring(key, 3, 2), F.lit("?"))))
+    patterns = read(spark, sf_dir, "supplier").select("s_suppkey", globs.alias("glob"))
+    patterns = patterns.withColumn("regex", F.concat(F.lit("(?i)^"), F.replace(F.replace("glob", F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$")))
+    return glob_matches(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("value")), patterns).select("c_custkey", "s_suppkey", "glob")
+
+
+SQL["glob_table_join"] = """
+WITH g AS (SELECT s_suppkey, lpad(s_suppkey::VARCHAR, 4, '0') AS k FROM supplier)
+SELECT c_custkey, s_suppkey, '*' || k AS glob FROM customer JOIN g ON c_name LIKE '%' || k
+UNION ALL SELECT c_custkey, s_suppkey, 'customer#*' || substr(k, 3, 2) || '?' FROM customer JOIN g ON lower(c_name) LIKE 'customer#%' || substr(k, 3, 2) || '_'"""
+
+QUERIES.update(glob_table_join=glob_table_join, settled_cells=settled_cells, diverse_order=diverse_order, adaptive_modes=adaptive_modes, stream_users=stream_users)
