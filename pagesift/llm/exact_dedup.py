@@ -77,12 +77,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     unique = flagged.where(~hit).select(*carried, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
     # Written once: the row number then names a row for good, even if tasks are run again.
     maybe = stored(flagged.where(hit).select(*dict.fromkeys([*carried, id_col]), sha.alias(_SHA)).withColumn(_ROW, F.monotonically_increasing_id()), "maybe_repeated")
-    groups = (
+    # Written too: the join then deals both sides anew, and copies of a hot text are split over tasks.
+    groups = stored(
         maybe.groupBy(_SHA)
         .agg(F.max(F.struct(F.col(id_col).alias("id"), F.col(_ROW).alias("row"))).alias("best"), F.count("*").alias("group_size"))
-        .select(_SHA, F.col("best.id").alias("keep_id"), F.col("best.row").alias("best_row"), "group_size")
+        .select(_SHA, F.col("best.id").alias("keep_id"), F.col("best.row").alias("best_row"), "group_size"),
+        "groups",
     )
-    # One row for each text on one side: copies of a hot text are split over tasks when the join is made.
     repeated = maybe.join(groups, _SHA).select(*carried, "keep_id", "group_size", (F.col(_ROW) == F.col("best_row")).alias("kept"), F.col(_SHA).alias("text_sha256"))
     return unique.unionByName(repeated)
 
