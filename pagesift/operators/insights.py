@@ -77,11 +77,13 @@ def minorities(df: DataFrame, value: str, by: list[str] | None = None, share: fl
     return counted.where(keep).select(*by, value, "n", "total")
 
 
-def majority_form(df: DataFrame, key: str, form: str, by: list[str]) -> DataFrame:
-    """(by, key, form, usual): rows whose form isn't their group's most frequent one; of equals the smallest form."""
-    counts = df.where(F.col(form).isNotNull()).groupBy(*by, form).agg(F.count("*").alias("n"))
-    usual = counts.groupBy(*by).agg(F.max_by(form, F.struct("n", F.lit(0))).alias("any"), F.max("n").alias("n")).join(counts.withColumnsRenamed({form: "usual"}), [*by, "n"]).groupBy(*by).agg(F.min("usual").alias("usual"))
-    return df.join(usual, by).where(F.col(form) != F.col("usual")).select(*by, key, form, "usual")
+def majority_form(df: DataFrame, key: str, form: str, by: list[str], order: str) -> DataFrame:
+    """(by, key, form, usual): rows whose form isn't their group's most frequent one; of equals the form met first in ``order``.
+    Rows with a null form aren't judged."""
+    judged = df.where(F.col(form).isNotNull())
+    counts = judged.groupBy(*by, form).agg(F.count("*").alias("n"), F.min(order).alias("met"))
+    usual = counts.groupBy(*by).agg(F.max_by(form, F.struct("n", (-F.col("met")).alias("earlier"))).alias("usual"))
+    return judged.join(usual, by).where(F.col(form) != F.col("usual")).select(*by, key, form, "usual")
 
 
 def inconsistent(df: DataFrame, subject: str, facts: list[str]) -> DataFrame:

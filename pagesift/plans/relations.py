@@ -184,40 +184,43 @@ s AS (SELECT {by} median(off) AS mad, avg(off) AS mean_off FROM o {group}),
 z AS (SELECT o.*, (v - median) / CASE WHEN mad > 0 THEN mad / 0.6745::DOUBLE ELSE mean_off / 0.797885::DOUBLE END AS z FROM o {join2} WHERE CASE WHEN mad > 0 THEN mad ELSE mean_off END > 0)"""
 
 
-@query("WITH x AS (SELECT page_id, length(html)::BIGINT AS v FROM pages), " + OUTLIER.format(by="", group="", join="CROSS JOIN m", join2="CROSS JOIN s") + " SELECT page_id, v AS length, median, round(z, 6) AS z FROM z WHERE n >= 20 AND z > 2.0 AND v >= 2.0 * median")
+@query("WITH x AS (SELECT page_id, length(html)::BIGINT * CASE WHEN page_id % 50 = 7 THEN 20 ELSE 1 END AS v FROM pages), " + OUTLIER.format(by="", group="", join="CROSS JOIN m", join2="CROSS JOIN s") + " SELECT page_id, v AS length, median, round(z, 6) AS z FROM z WHERE n >= 20 AND z > 3.5 AND v >= 3.0 * median")
 def insight_outlier(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("length"))
-    return I.outliers(pages, "page_id", "length", limit=2.0, times=2.0).withColumn("z", F.round("z", 6))
+    """Pages whose length stands out, one in fifty being twenty times as long."""
+    pages = read(spark, sf_dir, "pages").select("page_id", (F.length("html").cast("long") * F.when(F.col("page_id") % 50 == 7, 20).otherwise(1)).alias("length"))
+    return I.outliers(pages, "page_id", "length").withColumn("z", F.round("z", 6))
 
 
 @query(
-    "WITH x AS (SELECT l_returnflag, l_orderkey * 10 + l_linenumber AS line, l_extendedprice AS v FROM lineitem), "
+    "WITH x AS (SELECT l_returnflag, l_orderkey * 10 + l_linenumber AS line, CASE WHEN l_orderkey % 500 = 3 THEN 64 * l_extendedprice ELSE l_extendedprice END AS v FROM lineitem), "
     + OUTLIER.format(by="l_returnflag,", group="GROUP BY l_returnflag", join="JOIN m USING (l_returnflag)", join2="JOIN s USING (l_returnflag)")
-    + " SELECT l_returnflag, line, v, median, round(z, 6) AS z FROM z WHERE n >= 20 AND z > 1.8 AND v >= 2.0 * median"
+    + " SELECT l_returnflag, line, v, median, round(z, 6) AS z FROM z WHERE n >= 20 AND z > 3.5 AND v >= 3.0 * median"
 )
 def insight_outlier_by_group(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_extendedprice").alias("v"))
-    return I.outliers(lines, "line", "v", ["l_returnflag"], limit=1.8, times=2.0).withColumn("z", F.round("z", 6))
+    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.when(F.col("l_orderkey") % 500 == 3, 64 * F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("v"))
+    return I.outliers(lines, "line", "v", ["l_returnflag"]).withColumn("z", F.round("z", 6))
 
 
 @query(
-    """WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), t AS (SELECT *, sum(n) OVER ()::BIGINT AS total, max(n) OVER () AS most FROM c)
-SELECT p_brand, n, total FROM t WHERE total >= 20 AND most >= 0.04 * total AND n <= 0.039 * total"""
+    """WITH c AS (SELECT CASE WHEN p_partkey % 8 = 0 THEN p_brand ELSE 'usual' END AS p_brand, count(*) AS n FROM part GROUP BY 1), t AS (SELECT *, sum(n) OVER ()::BIGINT AS total, max(n) OVER () AS most FROM c)
+SELECT p_brand, n, total FROM t WHERE total >= 20 AND most >= 0.8 * total AND n <= 0.1 * total"""
 )
 def insight_minority(spark, sf_dir):
-    return I.minorities(read(spark, sf_dir, "part"), "p_brand", share=0.039, dominant=0.04)
+    brands = read(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 8 == 0, F.col("p_brand")).otherwise("usual").alias("p_brand"))
+    return I.minorities(brands, "p_brand")
 
 
 @query(
-    f"""WITH {FACTS}, f AS (SELECT grp, href, pathname LIKE '%/' AS slash FROM facts), c AS (SELECT grp, slash, count(*) AS n FROM f GROUP BY ALL),
-u AS (SELECT grp, min(slash) AS usual FROM (SELECT *, max(n) OVER (PARTITION BY grp) AS most FROM c) WHERE n = most GROUP BY grp)
+    f"""WITH {FACTS}, f AS (SELECT grp, href, page_id, pathname LIKE '%/' AS slash FROM facts WHERE pathname <> '/' AND NOT regexp_matches(pathname, '[.][A-Za-z0-9]{{1,5}}$') AND pathname NOT LIKE '/.well-known/%'),
+c AS (SELECT grp, slash, count(*) AS n, min(page_id) AS met FROM f GROUP BY ALL), u AS (SELECT grp, slash AS usual FROM c QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, met) = 1)
 SELECT grp AS "group", href, slash, usual FROM f JOIN u USING (grp) WHERE slash <> usual"""
 )
 def trailing_slash_minority(spark, sf_dir):
+    from pagesift.operators.site import slash_form
     from pagesift.plans.lint import page_facts
 
-    forms = page_facts(read(spark, sf_dir, "pages")).select("group", F.col("url.href").alias("href"), F.col("url.pathname").endswith("/").alias("slash"))
-    return I.majority_form(forms, "href", "slash", ["group"])
+    forms = page_facts(read(spark, sf_dir, "pages")).select("group", "page_id", F.col("url.href").alias("href"), slash_form(F.col("url.pathname")).alias("slash"))
+    return I.majority_form(forms, "href", "slash", ["group"], "page_id")
 
 
 @query(
@@ -246,11 +249,11 @@ def clock_skew_median(spark, sf_dir):
 
 @query(
     """WITH g AS (SELECT event_type, ts, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
-r AS (SELECT *, count(gap) OVER w AS gaps, sum(gap) OVER w AS elapsed FROM g WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
-SELECT event_type, event_id, gaps, (elapsed // (gaps * 1000))::BIGINT AS mean_ms FROM r WHERE gaps >= 3"""
+r AS (SELECT *, count(gap) OVER w AS gaps, sum(gap) OVER w AS elapsed, avg(gap / 1000000.0::DOUBLE) OVER w AS mean, var_samp(gap / 1000000.0::DOUBLE) OVER w AS v FROM g WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+SELECT event_type, event_id, gaps, (elapsed // (gaps * 1000))::BIGINT AS mean_ms, round(mean - 2 * sqrt(v / gaps), 4) AS low, round(mean + 2 * sqrt(v / gaps), 4) AS high FROM r WHERE gaps >= 3"""
 )
 def eta_moving_window(spark, sf_dir):
-    return I.gaps_eta(read(spark, sf_dir, "events"), ["event_type"], "ts", "event_id").select("event_type", "event_id", "gaps", F.expr("elapsed div (gaps * 1000)").alias("mean_ms"))
+    return I.gaps_eta(read(spark, sf_dir, "events"), ["event_type"], "ts", "event_id").select("event_type", "event_id", "gaps", F.expr("elapsed div (gaps * 1000)").alias("mean_ms"), "low", "high")
 
 
 @query(f"WITH {FACTS} SELECT grp AS \"group\", href, row_number() OVER (PARTITION BY grp ORDER BY href)::INT AS place FROM facts QUALIFY place <= 3")
