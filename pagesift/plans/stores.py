@@ -91,13 +91,13 @@ _add(
 
 @query(
     """WITH RECURSIVE tree AS (SELECT 1 AS n UNION SELECT unnest([2 * n, 2 * n + 1]) FROM tree WHERE n < 500)
-SELECT 'https://e.example/m' || n || '.xml' AS sitemap, 'https://e.example/p' || c_custkey AS loc FROM tree JOIN customer ON c_custkey % 1000 = n"""
+SELECT 'https://e.example/m' || n || '.xml' AS sitemap, 'https://e.example/p' || c_custkey AS loc FROM tree JOIN customer ON c_custkey % 999 + 1 = n"""
 )
 def sitemap_nesting(spark, sf_dir):
     """A thousand files, each an index of two more, with a page for each customer; every index names itself and one on another host, too."""
     n = F.col("n")
     maps = F.concat_ws("", F.transform(F.array(n, 2 * n, 2 * n + 1), lambda k: F.concat(F.lit("<sitemap><loc>https://e.example/m"), k.cast("string"), F.lit(".xml</loc></sitemap>"))), F.lit("<sitemap><loc>https://o.example/m1.xml</loc></sitemap>"))
-    urls = read(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 1000).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>https://e.example/p"), F.col("c_custkey").cast("string"), F.lit("</loc></url>")))), "").alias("u"))
+    urls = read(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 999 + 1).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>https://e.example/p"), F.col("c_custkey").cast("string"), F.lit("</loc></url>")))), "").alias("u"))
     files = spark.range(1, 1000).withColumnRenamed("id", "n").join(urls, "n", "left").select(F.concat(F.lit("https://e.example/m"), n.cast("string"), F.lit(".xml")).alias("url"), F.concat(F.when(n < 500, maps).otherwise(""), F.coalesce("u", F.lit(""))).cast("binary").alias("body"), F.lit("text/xml").alias("content_type"))
     return S.read_sitemaps(spark.createDataFrame([("https://e.example/m1.xml",)], "url string"), files).select("sitemap", "loc")
 
@@ -530,12 +530,15 @@ def stream_stream_join(spark, sf_dir):
 
 
 def html_robots(spark, sf_dir):
-    """Directives of the pages' own markup, through the parser."""
+    """Directives of the pages' own markup, through the parser; four pages in five are given an element in their head."""
     from pagesift.functions import headers as H
 
-    pages = read(spark, sf_dir, "pages").select("page_id", D.page(F.col("html"), F.col("url")).alias("f"))
+    n = F.col("page_id")
+    said = F.when(n % 5 == 1, "noindex").when(n % 5 == 2, "NoFollow, noai").when(n % 5 == 3, "none").when(n % 5 == 4, "index, follow")
+    html = F.when(said.isNull(), F.col("html")).otherwise(F.regexp_replace(F.col("html"), F.lit("(?i)<title"), F.concat(F.lit("<meta name=robots content='"), said, F.lit("'><title"))))
+    pages = read(spark, sf_dir, "pages").select("page_id", D.page(html, F.col("url")).alias("f"))
     return pages.select("page_id", H.robots_directives(F.try_element_at("f.meta", F.lit("robots")), F.lit(None).cast("string")).alias("r")).select("page_id", "r.*")
 
 
 QUERIES["html_robots"] = html_robots
-SQL["html_robots"] = "SELECT page_id, false AS noindex, false AS nofollow, false AS noai FROM pages WHERE NOT regexp_matches(html, '(?i)<meta[^>]*name=[\"'']?robots')"
+SQL["html_robots"] = "SELECT page_id, page_id % 5 IN (1, 3) AS noindex, page_id % 5 IN (2, 3) AS nofollow, page_id % 5 = 2 AS noai FROM pages"
