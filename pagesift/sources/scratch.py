@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def shared(spark) -> str:
-    """The shared folder for what jobs leave to later ones."""
+    """The shared folder for what jobs leave to later ones. On a cluster it has to be set; a machine's own folder would be seen by no other."""
     context = spark.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="pagesift-"))
     return context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().get()
