@@ -22,6 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``. Only where it is unset, as in tests, a local one is made."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     if not conf:
         conf = "file://" + tempfile.mkdtemp(prefix="pagesift-")
         spark.conf.set("spark.checkpoint.dir", conf)
