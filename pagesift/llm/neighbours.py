@@ -3,13 +3,15 @@
 A vector is approximated by the sum of one word from each of ``BOOKS`` codebooks, all of full dimension.
 Codebooks are fitted on a bounded sample: first by k-means on what the earlier books leave over, then by
 least squares on the codes that beam search finds, one book after the other with the others held fixed. Every vector is encoded by beam search; its code and squared
-norm are stored. A query's products with all words form a table; the sum of ``BOOKS`` look-ups is a
-candidate's approximate product (its distance, with the stored norm). The ``RERANK`` best are scored again
-on the original vectors in double precision.
+norm are stored, and the length of what the code leaves over. A query's products with all words form a table; the
+sum of ``BOOKS`` look-ups is a candidate's approximate product (its distance, with the stored norm). It is wrong by at most
+the query's length times what the code leaves over. The ``RERANK`` best of a block are scored on the original vectors; they say
+how good a neighbour has to be, and every other candidate that may be as good by its bound is scored too. So no
+neighbour is lost however the vectors lie; where codes fit badly, more candidates are scored.
 
 Equal vectors form one class, so that many copies of one vector can't crowd others out of the reranking;
 a class keeps its smallest ids, as many as an answer can hold. Classes and queries meet in blocks: each block
-of codes is sent to each block of queries.
+of queries is sent to each block of codes with their vectors.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from .common import in_arrow, stored, table
 BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that codebooks are fitted on, at most: those with the smallest hashes.
 SAMPLE = 8192
-RERANK = 300
-#: Rows in a block of codes and of queries.
-CODE_BLOCK, QUERY_BLOCK = 65536, 1024
+#: Candidates of a block that are scored before bounds decide on the others.
+RERANK = 64
+#: Numbers in a block of coded vectors and of queries.
+CODE_BLOCK, QUERY_BLOCK = 1 << 20, 1 << 17
 
 
 class AdditiveQuantizer:
@@ -83,6 +86,13 @@ class AdditiveQuantizer:
             out[a : a + 1024] = codes[np.arange(n), left.argmin(1)]
         return out
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The sums of the words that codes stand for."""
+        out = np.zeros((len(codes), self.books.shape[2]))
+        for b, words in enumerate(self.books):
+            out += words[codes[:, b]]
+        return out
+
     def scores(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products (queries, codes)."""
         tables = np.einsum("mkd,qd->mqk", self.books, np.asarray(queries, np.float32))
@@ -143,17 +153,19 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             codes = quantizer.encode(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((x * x).sum(1))], ["cls", "code", "norm"])
+            left = np.linalg.norm(x - quantizer.decode(codes), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((x * x).sum(1)), pa.array(left)], ["cls", "vector", "code", "norm", "left"])
 
-    coded = in_arrow(classes.select("cls", "vector"), encode, "cls string, code binary, norm double")
+    coded = in_arrow(classes.select("cls", "vector"), encode, "cls string, vector array<double>, code binary, norm double, left double")
     queries = df.where(usable(vector_col) & is_query & (F.size(vector_col) == dim)).select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("query_id IS NOT NULL")
     asked = stored(queries.join(classes.select("cls", "vector"), "vector").select("query_id", "cls").distinct(), "asked")
     wanted = stored(classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "vector"), "wanted")
-    code_blocks, query_blocks = -(-n // CODE_BLOCK), max(1, -(-wanted.count() // QUERY_BLOCK))
+    code_blocks, query_blocks = max(1, -(-n * dim // CODE_BLOCK)), max(1, -(-wanted.count() * dim // QUERY_BLOCK))
     block = lambda m, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.lit(m)).cast("int")
-    codes = coded.groupBy(block(code_blocks, 1).alias("cb")).agg(F.collect_list(F.struct("cls", "code", "norm")).alias("codes"))
-    codes = codes.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    codes = coded.groupBy(block(code_blocks, 1).alias("cb")).agg(F.collect_list(F.struct("cls", "vector", "code", "norm", "left")).alias("codes"))
     asks = wanted.groupBy(block(query_blocks, 2).alias("qb")).agg(F.collect_list(F.struct(F.col("cls").alias("ask"), "vector")).alias("asks"))
+    asks = asks.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
+    least = k + 1  # a query's own class may be among its best
 
     def score(batches):
         import pyarrow as pa
@@ -163,20 +175,41 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
                 asks, codes = b.column(0)[i].values, b.column(1)[i].values
                 code = _stack(codes.field("code").to_pylist(), books, np.uint8)
                 q = asks.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = codes.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 names, ask = codes.field("cls"), asks.field("ask")
-                norms = codes.field("norm").to_numpy(zero_copy_only=False)
+                norms, left = (codes.field(f).to_numpy(zero_copy_only=False) for f in ("norm", "left"))
+                sizes = np.sqrt(norms)
                 for a in range(0, len(q), 64):
-                    s = quantizer.scores(q[a : a + 64], code)
-                    if metric == "l2":
-                        s = 2 * s - norms
-                    m = min(rerank, s.shape[1])
-                    best = np.argpartition(-s, m - 1, 1)[:, :m]
-                    rows = np.repeat(np.arange(a, a + len(s)), m)
-                    yield pa.RecordBatch.from_arrays([ask.take(pa.array(rows)), names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, 1).ravel().astype(float))], ["ask", "cls", "rough"])
-
-    rough = in_arrow(asks.join(codes, "qb").select("asks", "codes"), score, "ask string, cls string, rough double")
+                    rows, places, low, high = [], [], [], []
+                    some = q[a : a + 64]
+                    for j, (y, s) in enumerate(zip(some, quantizer.scores(some, code), strict=True), a):
+                        # Slack for single precision, in which the look-ups are summed, and for the rounding of double.
+                        size = np.linalg.norm(y)
+                        slack, rounding = size * (left + 1e-5 * (sizes + left)), 1e-12 * (size * sizes)
+                        if metric == "l2":
+                            s, slack, rounding = 2 * s - norms, 2 * slack, 2 * rounding + 1e-12 * norms
+                        upper = np.where(np.isfinite(s + slack), s + slack, np.inf)
+                        exact = lambda c: 2 * (x[c] @ y) - norms[c] if metric == "l2" else x[c] @ y  # noqa: B023, E731
+                        c = np.arange(len(s))
+                        if len(s) > max(rerank, least):
+                            first = np.argpartition(-upper, max(rerank, least))[: max(rerank, least)]
+                            c = np.flatnonzero(upper >= np.partition(exact(first) - rounding[first], -least)[-least])
+                        e = exact(c)
+                        if len(c) > least:
+                            # Scores that differ by no more than their rounding all go on.
+                            near = e + rounding[c] >= np.partition(e - rounding[c], -least)[-least]
+                            c, e = c[near], e[near]
+                        rows.append(np.full(len(c), j))
+                        places.append(c)
+                        low.append(e - rounding[c])
+                        high.append(e + rounding[c])
+                    joined = [pa.array(np.concatenate(v)) for v in (rows, places, low, high)]
+                    yield pa.RecordBatch.from_arrays([ask.take(joined[0]), names.take(joined[1]), joined[2], joined[3]], ["ask", "cls", "low", "high"])
+
+    rough = in_arrow(asks.join(codes, "cb").select("asks", "codes"), score, "ask string, cls string, low double, high double")
     if code_blocks > 1:
-        rough = rough.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("rough"), "cls"))).where(F.col("r") <= rerank)
+        goal = F.nth_value("low", least).over(Window.partitionBy("ask").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        rough = rough.withColumn("goal", goal).where(F.col("goal").isNull() | (F.col("high") >= F.col("goal")))
     exact = rough.select("ask", "cls").join(classes, "cls").join(wanted.select(F.col("cls").alias("ask"), F.col("vector").alias("q")), "ask")
     product = _product("q", "vector")
     if metric == "l2":

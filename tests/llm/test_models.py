@@ -140,3 +140,20 @@ def test_op10_has_every_document(spark):
     sf = "/root/testdata/sf0.001"
     out = sharding.op10_sharding(spark, sf)
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in table(spark, sf, "documents").collect())
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_no_neighbour_is_lost_in_tight_clusters(spark, metric, monkeypatch):
+    """Thousands of vectors that differ by less than what codes leave over, in several blocks."""
+    monkeypatch.setattr(neighbours, "CODE_BLOCK", 1 << 15)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(3, 16)), 1500, 0) + rng.normal(size=(4500, 16)) * 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 300 == 0, metric=metric, quantizer=neighbours.AdditiveQuantizer(16, books=3).fit(x[::9], rounds=1)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 15
+    for q, found in got.items():
+        near = x @ x[q] if metric == "ip" else -((x - x[q]) ** 2).sum(1)
+        near[q] = -np.inf
+        assert found == np.argsort(-near, kind="stable")[:20].tolist()
