@@ -158,15 +158,18 @@ def claims_apart(found: DataFrame, pages: DataFrame) -> DataFrame:
 def dangling(found: DataFrame) -> DataFrame:
     """(id, pages): references to blank nodes, or into known pages, that neither the page that refers nor the page that is
     referred to defines; with the number of pages that refer. ``found`` are the nodes of all pages."""
-    found = cut(found.select("href", "id", "defines"))  # read four times; texts are parsed once
-    defined = found.where("defines").select("href", "id").distinct()
-    refs = found.where("id IS NOT NULL AND NOT defines").select("href", "id").distinct()
+    # One row for each page and id, as far as a page has any; texts are parsed once. The sides of the join grow with the pages, so none is broadcast.
+    told = cut(found.groupBy("href", "id").agg(F.max("defines").alias("defines")))
     blank = F.col("id").startswith("_:")
-    target = F.when(blank, F.col("href")).when(F.contains("id", F.lit("#")), F.split_part("id", F.lit("#"), F.lit(1)))
-    known = found.select(F.col("href").alias("at")).distinct()
-    open_refs = refs.join(defined, ["href", "id"], "left_anti").withColumn("at", target).join(known, "at", "left_semi")
-    there = defined.select(F.col("href").alias("at"), "id")
-    return open_refs.join(there, ["at", "id"], "left_anti").groupBy("id").agg(F.count("*").alias("pages"))
+    open_refs = told.where("id IS NOT NULL AND NOT defines").select("id", "href", blank.alias("blank"))
+    own = open_refs.where("blank").groupBy("id").agg(F.count("*").alias("pages"))
+    at = F.when(F.contains("id", F.lit("#")), F.split_part("id", F.lit("#"), F.lit(1)))
+    # Hot targets are counted before they meet what their page defines.
+    away = open_refs.where("NOT blank").groupBy("id").agg(F.count("*").alias("pages")).withColumn("at", at)
+    known = told.select(F.col("href").alias("at")).distinct().hint("merge")
+    there = told.where("defines").select(F.col("href").alias("at"), "id").hint("merge")
+    lost = away.where("at IS NOT NULL").join(known, "at", "left_semi").join(there, ["at", "id"], "left_anti")
+    return own.unionByName(lost.select("id", "pages"))
 
 
 def unreachable_crumbs(found: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
