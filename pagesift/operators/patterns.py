@@ -35,15 +35,22 @@ def glob_keys(patterns: DataFrame, glob: str = "glob") -> DataFrame:
     return each.join(shared, "key", "left").groupBy(glob).agg(best["key"].alias("key"))
 
 
-def glob_matches(values: DataFrame, patterns: DataFrame, value: str = "value", glob: str = "glob", regex: str = "regex", by: Sequence[str] = ()) -> DataFrame:
-    """``values`` with the rows of ``patterns`` whose expression ``regex`` (that of their ``glob``) matches ``value``, and whose
-    columns ``by`` are equal. Null values and null globs match nothing. No name may be in both but those in ``by``."""
-    keyed = patterns.join(glob_keys(patterns, glob), glob)
-    present = values.where(F.col(value).isNotNull())
+def glob_pairs(values: DataFrame, patterns: DataFrame, value: str = "value", glob: str = "glob", regex: str = "regex", by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, glob, regex): each different value with each different glob that it may match, once, however many rows have them."""
+    keyed = patterns.select(*by, glob, regex).distinct().join(glob_keys(patterns, glob), glob)
+    present = values.select(*by, value).where(F.col(value).isNotNull()).distinct()
     low = F.lower(F.col(value))
     pieces = F.flatten(F.array(*[_pieces(low, n) for n in SIZES]))
     asked = present.withColumn("key", F.explode(pieces))
     met = asked.join(keyed.where("key IS NOT NULL"), ["key", *by]).drop("key")
     free = keyed.where("key IS NULL").drop("key")
     every = present.join(free, list(by)) if by else present.join(free, F.lit(True))
-    return met.unionByName(every).where(F.rlike(F.col(value), F.col(regex)))
+    return met.unionByName(every)
+
+
+def glob_matches(values: DataFrame, patterns: DataFrame, value: str = "value", glob: str = "glob", regex: str = "regex", by: Sequence[str] = ()) -> DataFrame:
+    """``values`` with the rows of ``patterns`` whose expression ``regex`` (that of their ``glob``) matches ``value``, and whose
+    columns ``by`` are equal. Null values and null globs match nothing. No name may be in both but those in ``by``."""
+    found = glob_pairs(values, patterns, value, glob, regex, by).where(F.rlike(F.col(value), F.col(regex)))
+    rows = values.join(found, [*by, value])
+    return rows.join(patterns, [*by, glob, regex]).select(*values.columns, *[c for c in patterns.columns if c not in by])
