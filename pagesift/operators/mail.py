@@ -56,11 +56,12 @@ def spf_faults(records: DataFrame) -> DataFrame:
     return told.select("name", errors.alias("errors"), F.coalesce("after_all", F.lit(0)).alias("after_all"), F.coalesce("redundant", F.lit(False)).alias("redundant"), F.coalesce("ptr", F.lit(False)).alias("ptr"))
 
 
-def spf_walk(domains: DataFrame, records: DataFrame, empty: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+def spf_walk(domains: DataFrame, records: DataFrame, empty: DataFrame | None = None, limit: int | None = LIMIT) -> DataFrame:
     """(domain, lookups, within): lookups of each domain's tree; with ``empty`` also voids and missing.
 
     Names are compared lower-case. A name has a record only if it has exactly one. Each record counts once per domain, so
-    loops end; a domain's walk goes no deeper once it has ``limit`` lookups, and its count is told as far as it went.
+    loops end; a domain's walk goes no deeper once it has ``limit`` lookups, and its count is told as far as it went;
+    with ``limit`` None the whole tree is counted.
     ``empty`` is (name, term) of questions whose answer was empty; voids counts these, missing the included names without one record."""
     own = records.where(F.lower("record").rlike(r"^v=spf1(\s|$)")).withColumn("name", F.lower("name"))
     single = own.groupBy("name").agg(F.count("*").alias("c"), F.min("record").alias("record")).where("c = 1").select("name", "record")
@@ -72,7 +73,7 @@ def spf_walk(domains: DataFrame, records: DataFrame, empty: DataFrame | None = N
         total = met if total is None else cut(total.unionByName(met))
         counted = total.groupBy("domain").agg(F.count("*").alias("n"))
         new = met.where("term IN ('include', 'redirect') AND target IS NOT NULL").select("domain", F.col("target").alias("name")).distinct().join(seen, ["domain", "name"], "left_anti")
-        frontier = cut(new.join(counted.where(F.col("n") < limit).select("domain"), "domain", "left_semi"))
+        frontier = cut(new if limit is None else new.join(counted.where(F.col("n") < limit).select("domain"), "domain", "left_semi"))
         if not frontier.limit(1).count():
             break
         seen = cut(seen.unionByName(frontier))
