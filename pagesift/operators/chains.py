@@ -44,7 +44,9 @@ def chains(certs: DataFrame, most: int = MOST) -> DataFrame:
     not there), loop, or long (``most`` certificates were read).
 
     Only certificates that issue others are walked, a join for each step, so that the many leaves join once, at the end."""
-    links = cut(issuers(certs))
+    c = F.col("cert")  # read three times; bytes are parsed once
+    named = F.struct(*[c[n].alias(n) for n in ("signature", "subject_name", "issuer_name", "subject_key", "authority_key", "not_after")])
+    links = cut(issuers(cut(certs.select("fingerprint", named.alias("cert")))))
     step = links.select(F.col("fingerprint").alias("at"), "signature", "root", "issuer")
     authorities = links.where("issuer IS NOT NULL AND issuer <> fingerprint").select(F.col("issuer").alias("top")).distinct()
     # A walk from each issuer: the path it has, and where it goes next (null: it has ended).

@@ -13,6 +13,7 @@ from pyspark.sql.types import BinaryType
 from pagesift.functions import certificates as C
 from pagesift.operators import chains as T
 from pagesift.plans.pages import read
+from pagesift.sources.scratch import dealt_out
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -90,7 +91,7 @@ def _authorities(names: pa.Array, signers: pa.Array) -> pa.Array:
 def _customers(spark, sf_dir) -> DataFrame:
     """(c_custkey, der): a leaf for each customer, issued by its nation."""
     nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    own = read(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    own = dealt_out(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     return own.select("c_custkey", _leaves(F.col("c_custkey"), F.col("c_name"), F.col("n_name"), F.col("n_nationkey")).alias("der"))
 
 

@@ -3,10 +3,13 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from pagesift.functions import document
+from pagesift.operators import insights, site
+from pagesift.operators import links as links_of
 from pagesift.operators import patterns as P
-from pagesift.operators import site
 from pagesift.operators import structured_data as J
-from pagesift.plans import registry
+from pagesift.plans import cases, certificates, feeds, registry, stores
+from pagesift.sources import scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -53,3 +56,53 @@ def test_pages_that_share_an_address_are_all_judged(spark, tmp_path):
 def test_whole_trees_of_records_are_counted(spark, tmp_path):
     spark.range(1, 300).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
     assert agrees(spark, tmp_path, "spf_walk_lookups")
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark):
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert cases.dealt(spark, SF, ["a"]).rdd.getNumPartitions() == least
+    assert certificates._customers(spark, SF).rdd.getNumPartitions() == least
+    assert feeds._feeds(spark, SF).rdd.getNumPartitions() == least
+    assert stores._marked(spark, SF)[0].rdd.getNumPartitions() == least
+
+
+def test_repeated_pages_and_absent_ones_keep_their_places(spark):
+    rows = [(0, "<title>a</title>", "http://e.example/"), (1, None, "http://e.example/"), (2, "<title>b</title>", "http://e.example/"), (3, "<title>a</title>", "http://e.example/"), (4, "<title>a</title>", None)]
+    got = spark.createDataFrame(rows, "n int, h string, u string").coalesce(1).select("n", document.page(F.col("h"), F.col("u"))["title"].alias("t")).collect()
+    assert {r.n: r.t for r in got} == {0: "a", 1: None, 2: "b", 3: "a", 4: None}
+
+
+def test_a_crawl_broadcasts_no_links(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 10)], "href long, target long")
+    broadcasts = []
+    cut = scratch.cut
+
+    def watched(df):
+        broadcasts.append("Broadcast" in df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    scratch.cut = watched
+    try:
+        found = links_of.crawl_frontier(spark.createDataFrame([(1,)], "url long"), links).collect()
+    finally:
+        scratch.cut = cut
+    assert sorted(map(tuple, found)) == [(1, 0), (2, 1), (3, 2)] and broadcasts and not any(broadcasts)
+
+
+def test_nodes_with_no_more_than_what_is_asked(spark):
+    ld = '[{"@id": "#a", "name": "x"}, {"@id": "#a", "name": "y"}, {"@type": "BreadcrumbList", "itemListElement": [{"item": "/one"}]}]'
+    pages = spark.createDataFrame([("http://e.example/", [ld])], "href string, jsonld array<string>")
+    assert J.page_nodes(pages, only=("id", "defines")).where("id IS NOT NULL").collect() == [("http://e.example/", "http://e.example/#a", True)]
+    assert [r.crumbs for r in J.page_nodes(pages, only=("crumbs",)).where("size(crumbs) > 0").collect()] == [["http://e.example/one"]]
+
+
+def test_few_groups_are_sent_to_the_rows(spark):
+    groups = spark.range(3)
+    rows = spark.range(100).select((F.col("id") % 3).alias("id"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows.join(insights._told_all(groups), "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan
