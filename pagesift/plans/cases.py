@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.plans.pages import read
+from pagesift.sources.scratch import dealt_out
 
 
 def dealt(spark, sf_dir: str, inputs: Sequence, table: str = "customer", key: str = "c_custkey", names: Sequence[str] = ("h",)) -> DataFrame:
     """(id, names): an input is a value, or a tuple of as many as there are names."""
     rows = [x if isinstance(x, tuple) else (x,) for x in inputs]
     cells = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])
-    keyed = read(spark, sf_dir, table).select(F.col(key).alias("id"))
+    keyed = dealt_out(read(spark, sf_dir, table).select(F.col(key).alias("id")), "id")
     return keyed.withColumn("x", F.get(cells, F.pmod(F.col("id"), F.lit(len(rows))).cast("int"))).select("id", "x.*")
 
 
