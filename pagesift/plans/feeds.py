@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import feeds as O
 from pagesift.plans.pages import read
+from pagesift.sources.scratch import dealt_out
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,7 +36,8 @@ def _feeds(spark, sf_dir):
         .when(k % 4 == 2, made("<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:r='http://purl.org/rss/1.0/' xmlns:dc='http://purl.org/dc/elements/1.1/'><r:channel><r:title>t</r:title><r:link>/</r:link></r:channel>", items(rdf), "</rdf:RDF>"))
         .otherwise(made('{"version": "https://jsonfeed.org/version/1", "title": "t", "items": [', js(one, "a", name), ", ", js(two, "b", brand), "]}"))
     )
-    return O.parsed(read(spark, sf_dir, "part").select(F.concat(F.lit("https://p.example/feed/"), k.cast("string")).alias("url"), body.alias("body")))
+    parts = dealt_out(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    return O.parsed(parts.select(F.concat(F.lit("https://p.example/feed/"), k.cast("string")).alias("url"), body.alias("body")))
 
 
 def feed_model(spark, sf_dir):
