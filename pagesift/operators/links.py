@@ -135,11 +135,13 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, budget: int | None = None
     feature of the crawl, ``budget`` URLs at most, of the last level the first by name."""
     from pagesift.sources.scratch import cut
 
+    # Links are read once, and neither they nor what was visited is broadcast: both grow with the site.
+    links = cut(links.select("href", "target").repartition("href").sortWithinPartitions("href"))
     frontier = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     visited, level = frontier, 0
     while (depth is None or level < depth) and (budget is None or visited.count() < budget):
         level += 1
-        new = frontier.join(links, frontier.url == links.href).select(F.col("target").alias("url")).distinct().join(visited, "url", "left_anti").withColumn("depth", F.lit(level))
+        new = frontier.join(links.hint("merge"), frontier.url == links.href).select(F.col("target").alias("url")).distinct().join(visited.hint("merge"), "url", "left_anti").withColumn("depth", F.lit(level))
         frontier = cut(new)
         if not frontier.limit(1).count():
             break
