@@ -17,6 +17,8 @@ from pagesift.sources.scratch import cut
 NODES = "array<struct<path: string, id: string, types: array<string>, name: string, defines: boolean, crumbs: array<string>, properties: map<string, array<string>>>>"
 _TYPE = pa.list_(pa.struct([("path", pa.string()), ("id", pa.string()), ("types", pa.list_(pa.string())), ("name", pa.string()), ("defines", pa.bool_()), ("crumbs", pa.list_(pa.string())), ("properties", pa.map_(pa.string(), pa.list_(pa.string())))]))
 
+_KINDS = {"path": "string", "id": "string", "types": "array<string>", "name": "string", "defines": "boolean", "crumbs": "array<string>", "properties": "map<string, array<string>>"}
+
 # Fixed values, from search engines' pages on rich results and from schema.org: properties that a type's results ask for,
 # types about the page they stand on, and date properties whose names don't say so.
 REQUIRED = {
@@ -56,7 +58,7 @@ def _address(item, base: str) -> str | None:
     return _absolute(item, base) if isinstance(item, str) and item else None
 
 
-def walk(value, base: str) -> list[dict]:
+def walk(value, base: str, properties: bool = True) -> list[dict]:
     """All nodes of a JSON-LD value, with the path that leads to each; contexts are not looked into. Depth is not limited."""
     found, todo = [], [("", value)]
     while todo:
@@ -72,14 +74,18 @@ def walk(value, base: str) -> list[dict]:
                 crumbs = [u for e in (items if isinstance(items, list) else [items]) if isinstance(e, dict) and (u := _address(e.get("item"), base))]
             found.append({
                 "path": path, "id": _absolute(node_id, base) if isinstance(node_id, str) else None, "types": types, "name": x["name"] if isinstance(x.get("name"), str) else None,
-                "defines": isinstance(node_id, str) and any(k not in ("@id", "@context") for k in x), "crumbs": list(dict.fromkeys(crumbs)), "properties": [(k, _said(v)) for k, v in x.items() if not k.startswith("@")],
+                "defines": isinstance(node_id, str) and any(k not in ("@id", "@context") for k in x), "crumbs": list(dict.fromkeys(crumbs)), "properties": [(k, _said(v)) for k, v in x.items() if not k.startswith("@")] if properties else [],
             })
             todo += [(below(k), v) for k, v in reversed(list(x.items())) if k != "@context" and isinstance(v, (dict, list))]
     return found
 
 
-def nodes(blocks: Column, url: Column) -> Column:
-    """array of nodes of a page's JSON-LD texts; a text that is no JSON has none. Null blocks give null."""
+def nodes(blocks: Column, url: Column, only: Sequence[str] = ()) -> Column:
+    """array of nodes of a page's JSON-LD texts; a text that is no JSON has none. Null blocks give null. With ``only``
+    nodes have no more than these fields, and of nodes that are alike in them a page gives one."""
+    kind = pa.list_(pa.struct([f for f in _TYPE.value_type if not only or f.name in only]))
+    fields = [f.name for f in kind.value_type]
+    ddl = NODES if not only else "array<struct<" + ", ".join(f"{n}: {_KINDS[n]}" for n in fields) + ">>"
 
     def read(texts, base):
         values = []
@@ -88,18 +94,19 @@ def nodes(blocks: Column, url: Column) -> Column:
                 values.append(json.loads(t))
             except (TypeError, ValueError, RecursionError):  # the last of what is nested beyond reading
                 continue
-        return [n for v in values for n in walk(v, base) if not (isinstance(v, dict) and "@error" in v)]
+        found = [n for v in values for n in walk(v, base, not only or "properties" in only) if not (isinstance(v, dict) and "@error" in v)]
+        return list({repr(t): t for n in found for t in [{f: n[f] for f in fields}]}.values()) if only else found
 
-    @F.arrow_udf(NODES)
+    @F.arrow_udf(ddl)
     def run(lists: pa.Array, urls: pa.Array) -> pa.Array:
-        return pa.array([None if b is None or u is None else read(b, u) for b, u in zip(lists.to_pylist(), urls.to_pylist())], _TYPE)
+        return pa.array([None if b is None or u is None else read(b, u) for b, u in zip(lists.to_pylist(), urls.to_pylist())], kind)
 
     return run(blocks, url)
 
 
-def page_nodes(pages: DataFrame, blocks: str = "jsonld", url: str = "href") -> DataFrame:
-    """(href, path, id, types, name, defines, crumbs, properties): one row for each node."""
-    return pages.select(F.col(url).alias("href"), F.explode(nodes(F.col(blocks), F.col(url))).alias("n")).select("href", "n.*")
+def page_nodes(pages: DataFrame, blocks: str = "jsonld", url: str = "href", only: Sequence[str] = ()) -> DataFrame:
+    """(href, path, id, types, name, defines, crumbs, properties): one row for each node; with ``only`` no more than these fields, alike nodes once."""
+    return pages.select(F.col(url).alias("href"), F.explode(nodes(F.col(blocks), F.col(url), only)).alias("n")).select("href", "n.*")
 
 
 def all_blocks(jsonld: Column, html: Column, url: Column) -> Column:

@@ -17,6 +17,7 @@ from pagesift.plans.cases import Cases
 from pagesift.plans.pages import read
 from pagesift.sources import files as S
 from pagesift.sources import reports as W
+from pagesift.sources.scratch import dealt_out
 
 _C = Cases()
 QUERIES, SQL = _C.queries, _C.sql
@@ -304,7 +305,7 @@ _add(
 )
 
 
-def _marked(spark, sf_dir):
+def _marked(spark, sf_dir, *only):
     """A page for each order that defines a node, refers to one of the page of its customer's key, and has a trail; as JSON-LD,
     microdata or RDFa."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -316,9 +317,10 @@ def _marked(spark, sf_dir):
         F.lit(f'"></p><p {scope} {own}="_:a"><b {prop}="name"> y\n</b></p><ol {trail}><li {prop}="itemListElement" {scope}><a {prop}="item" href="/'), c.cast("string"), F.lit('">up</a></li></ol></main>'),
     )
     html = F.when(k % 4 == 2, item("itemscope", "itemid", "itemprop", 'itemscope itemtype="https://schema.org/BreadcrumbList"')).when(k % 4 == 3, item('typeof=""', "resource", "property", 'typeof="schema:BreadcrumbList"')).otherwise("<main></main>")
-    pages = read(spark, sf_dir, "orders").select(k, page(k).alias("href"), F.when(k % 4 < 2, F.array(ld)).alias("ld"), html.alias("html"))
+    orders = dealt_out(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    pages = orders.select(k, page(k).alias("href"), F.when(k % 4 < 2, F.array(ld)).alias("ld"), html.alias("html"))
     pages = pages.withColumn("jsonld", J.all_blocks(F.col("ld"), F.col("html"), F.col("href")))
-    return J.page_nodes(pages), pages.select("href", F.when(k % 5 == 0, 404).otherwise(200).alias("status"), k)
+    return J.page_nodes(pages, only=only), read(spark, sf_dir, "orders").select(k, page(k).alias("href")).select("href", F.when(k % 5 == 0, 404).otherwise(200).alias("status"), k)
 
 
 def _products(spark, sf_dir):
@@ -360,7 +362,7 @@ SELECT {_PAGE} c || '#you' AS id, count(DISTINCT k) AS pages FROM o WHERE c % 2
 UNION ALL SELECT '_:b', count(*) FROM o WHERE k % 3 <> 0 HAVING count(*) > 0"""
 )
 def jsonld_dangling(spark, sf_dir):
-    return J.dangling(_marked(spark, sf_dir)[0])
+    return J.dangling(_marked(spark, sf_dir, "id", "defines")[0])
 
 
 @query(
@@ -368,7 +370,7 @@ def jsonld_dangling(spark, sf_dir):
 SELECT {_PAGE} c AS url, fault, count(*) AS pages FROM f WHERE fault IS NOT NULL GROUP BY ALL"""
 )
 def breadcrumb_status(spark, sf_dir):
-    nodes, pages = _marked(spark, sf_dir)
+    nodes, pages = _marked(spark, sf_dir, "crumbs")
     moved = read(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("https://e.example/"), F.col("c_custkey").cast("string")).alias("from"), F.lit("/new").alias("to"))
     return J.unreachable_crumbs(nodes, pages, moved)
 
@@ -426,7 +428,7 @@ SELECT url, min(depth) AS depth FROM w WHERE url <= (SELECT max(c_custkey) FROM
 def crawl_frontier(spark, sf_dir):
     """Customer n links to 2n and 3n."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("href"))
-    links = c.select("href", F.explode(F.array(F.col("href") * 2, F.col("href") * 3)).alias("target")).join(c.select(F.col("href").alias("target")), "target", "left_semi")
+    links = c.select("href", F.explode(F.array(F.col("href") * 2, F.col("href") * 3)).alias("target")).join(c.select(F.col("href").alias("target")).hint("merge"), "target", "left_semi")
     return K.crawl_frontier(spark.createDataFrame([(1,)], "url long"), links)
 
 
