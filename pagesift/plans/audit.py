@@ -18,7 +18,7 @@ from pagesift.operators import verdicts as V
 from pagesift.operators.extensions import Extensions
 from pagesift.operators.rulesets import Rulesets, compiled
 from pagesift.plans.presets import PARSED, PRESETS
-from pagesift.sources.scratch import cut
+from pagesift.sources.scratch import cut, small_batches
 from pagesift.sources.store import FactStore
 
 PARSERS = {
@@ -84,7 +84,7 @@ def audit(
     chosen, unique = compiled({i: s for i, s in specs.items() if i not in made})
     chosen += [ext.rule(i, s) for i, s in made.items()]
     reads = paths_read(chosen, unique) | {c for e in ext.needed(chosen) for c in e.inputs}
-    every = capture_facts(captures, groups, reads=None if store else reads, languages=languages)
+    every = capture_facts(small_batches(captures), groups, reads=None if store else reads, languages=languages)
     facts = (store or FactStore(captures.sparkSession)).write(run, ext.with_facts(every, chosen))
     pages = facts.withColumn("href", F.col("url.href"))
     if site is not None:
