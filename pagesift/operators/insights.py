@@ -39,6 +39,16 @@ def middle(low: str = "low", high: str = "high") -> Column:
     return (F.col(low).cast("double") + F.col(high).cast("double")) / 2
 
 
+#: Groups whose few numbers are sent to all tasks.
+FEW_GROUPS = 100_000
+
+
+def _told_all(groups: DataFrame) -> DataFrame:
+    """One row for each group, sent to all tasks while they are few, so that rows of a large group stay where they are."""
+    groups = cut(groups)
+    return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
+
+
 def outliers(df: DataFrame, key: str, value: str, by: list[str] | None = None, limit: float = 3.5, times: float = 3.0, least: int = 20) -> DataFrame:
     """(by, key, value, median, z): rows whose robust z-score exceeds ``limit`` and that are ``times`` the median.
 
@@ -49,11 +59,11 @@ def outliers(df: DataFrame, key: str, value: str, by: list[str] | None = None, l
     rows = df.where(F.col(value).isNotNull()).withColumn("__all", F.lit(1))
     on = ["__all", *by]
     center = ranked(rows, on, value, MIDDLE).select(*on, "n", middle().alias("median"))
-    spread = rows.join(F.broadcast(center) if not by else center, on).withColumn("off", F.abs(F.col(value) - F.col("median")))
+    spread = rows.join(_told_all(center), on).withColumn("off", F.abs(F.col(value) - F.col("median")))
     mad = ranked(spread, on, "off", MIDDLE).select(*on, middle().alias("mad"))
     scale = spread.groupBy(*on).agg(F.avg("off").alias("mean_off")).join(mad, on)
     scale = scale.withColumn("scale", F.when(F.col("mad") > 0, F.col("mad") / MAD_SCALE).otherwise(F.col("mean_off") / MEAN_SCALE))
-    judged = spread.join(F.broadcast(scale) if not by else scale, on).where((F.col("n") >= least) & (F.col("scale") > 0))
+    judged = spread.join(_told_all(scale), on).where((F.col("n") >= least) & (F.col("scale") > 0))
     z = (F.col(value) - F.col("median")) / F.col("scale")
     return judged.withColumn("z", z).where((F.col("z") > limit) & (F.col(value) >= times * F.col("median"))).select(*by, key, value, "median", "z")
 
