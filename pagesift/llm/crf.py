@@ -76,13 +76,20 @@ class LinearChain:
         return 2 * max(0.0, best - self.transitions[O, O])
 
     def viterbi(self, em: np.ndarray) -> list[int]:
-        tr = self.transitions + self.forbidden
-        at, back = self.start + self.not_first + em[0], np.zeros(em.shape, np.int8)
-        for k in range(1, len(em)):
-            paths = at[:, None] + tr
-            back[k] = paths.argmax(0)
-            at = paths.max(0) + em[k]
-        tags = [int(at.argmax())]
-        for k in range(len(em) - 1, 0, -1):
-            tags.append(int(back[k, tags[-1]]))
+        """The best tags; of equally good ones the first. Plain floats, as three tags are too few for arrays."""
+        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = (self.transitions + self.forbidden).tolist()
+        o, b, i = (self.start + self.not_first + em[0]).tolist()
+        back = []
+        for eo, eb, ei in em[1:].tolist():
+            x, y, z = o + oo, b + bo, i + io
+            to_o, at_o = (x, O) if x >= y and x >= z else (y, B) if y >= z else (z, I)
+            x, y, z = o + ob, b + bb, i + ib
+            to_b, at_b = (x, O) if x >= y and x >= z else (y, B) if y >= z else (z, I)
+            x, y, z = o + oi, b + bi, i + ii
+            to_i, at_i = (x, O) if x >= y and x >= z else (y, B) if y >= z else (z, I)
+            o, b, i = to_o + eo, to_b + eb, to_i + ei
+            back.append((at_o, at_b, at_i))
+        tags = [O if o >= b and o >= i else B if b >= i else I]
+        for places in reversed(back):
+            tags.append(places[tags[-1]])
         return tags[::-1]

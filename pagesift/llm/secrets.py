@@ -1,11 +1,11 @@
 """Secret scan: three patterns, and a linear-chain conditional random field for what they miss.
 
 The field tags tokens as secret begin, inside or outside. Its features are the token's shape, the words and
-marks around it (three before, one after) and two properties of the file. It is trained here, once per table on the
-driver, on a fixed number of generated lines with and without secrets (``TRAINING_LINES``) and on lines of a bounded
-sample of the table's own texts (``SAMPLE_TEXTS``) in which no pattern matches, taken as free of secrets. Half of the
-sample is held out: the cutoff that is added to the outside tag is the smallest of a grid at which the field finds
-something in one of a hundred of its lines at most. Lines in which no token comes near a secret are outside throughout (a bound, not a guess, see
+marks around it (three before, one after) and two properties of the file. It is trained here on a fixed number of
+generated lines with and without secrets (``TRAINING_LINES``), and its cutoff (``CAUTION``) is fixed, so neither comes from
+a table: the spans of a text depend on that text alone. Callers may add lines of their own that are free of secrets (such as ``background_lines``);
+then half of these are held out, and the cutoff is the smallest of a grid at which the field finds something in one of
+a hundred of them at most. Lines in which no token comes near a secret are outside throughout (a bound, not a guess, see
 ``LinearChain.margin``); the others are decoded by Viterbi.
 """
 
@@ -48,7 +48,9 @@ KEYS = (
 )
 #: Words that features name: the keys, their parts, and words that stand beside them.
 NAMED = {*KEYS, *(p for k in KEYS for p in k.split("_")), *(k.replace("_", "-") for k in KEYS), "authorization", "basic", "curl", "export", "postgres", "mysql", "mongodb", "redis", "amqp", "commit", "version", "https", "http", "mail", "color", "com", "example", "is", "was", "the", "of"}
-#: What may be taken from the scores of the tags begin and inside: prose holds far fewer secrets than the training lines.
+#: What is taken from the scores of the tags begin and inside: prose holds far fewer secrets than the training lines. And
+#: what may be taken where a caller's own lines choose it.
+CAUTION = 0.5
 CAUTIONS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0)
 
 
@@ -230,7 +232,7 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
 def train(lines: int = TRAINING_LINES, seed: int = 17, background: tuple[str, ...] = ()) -> LinearChain:
     """The field, from ``lines`` generated lines and lines without secrets. The same at every call with the same lines.
 
-    Every other line of ``background`` is held out to choose the cutoff; without background it is 2."""
+    Every other line of ``background`` is held out to choose the cutoff; without background it is ``CAUTION``."""
     rng = random.Random(seed)
     rows, tags = [], []
     for line, spans in [*(_generated(rng) for _ in range(lines)), *((b, []) for b in background[::2])]:
@@ -265,7 +267,7 @@ def train(lines: int = TRAINING_LINES, seed: int = 17, background: tuple[str, ..
     held = background[1::2]
     most = len(held) // HELD_OUT  # the sample may hold secrets that no pattern knows
     few = lambda c: sum(bool(Scanner(field, c).spans(b)) for b in held) <= most
-    field.caution = next((c for c in CAUTIONS if few(c)), CAUTIONS[-1]) if held else 2.0
+    field.caution = next((c for c in CAUTIONS if few(c)), CAUTIONS[-1]) if held else CAUTION
     return field
 
 
@@ -281,7 +283,8 @@ _KEY_WORDS = {p for k in KEYS for p in k.split("_")} | {"pass", "auth", "authori
 
 
 def background_lines(df: DataFrame, text_col: str) -> tuple[str, ...]:
-    """Lines of a bounded sample of the texts in which no pattern matches and that aren't ``unclear``; in an order that depends on the texts alone."""
+    """For callers who teach a field with a table's own lines; ``scan`` doesn't by itself. Lines of a bounded sample of the
+    texts in which no pattern matches and that aren't ``unclear``; in an order that depends on the texts alone."""
     lines = F.transform(F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: F.trim(x) != ""), lambda x: F.substring(x, 1, SAMPLE_CHARS))
     few = F.slice(F.array_sort(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line")))), 1, SAMPLE_LINES)
     sample = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), few["line"].alias("lines")).orderBy("h", F.array_join("lines", "\n")).limit(SAMPLE_TEXTS).collect()
@@ -300,15 +303,15 @@ def field(background: tuple[str, ...] = ()) -> LinearChain:
     return _FIELDS[background]
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, background: tuple[str, ...] = ()) -> DataFrame:
     """(id, secrets array<struct<kind, start, end>>) per row; with ``digest`` the counts and span lists.
 
     Offsets are code points, the end exclusive. Spans of the three patterns all stay; spans of the field are
     added but where one of these contains them. Null and empty texts have no spans. Repeated rows give repeated
-    results, ids may be null, other columns are not read. Spans of the field depend on the sample of texts it learns
-    from, so on the table; the patterns' spans don't.
+    results, ids may be null, other columns are not read. A text's spans don't depend on other rows. ``background``
+    are lines free of secrets that the field is to learn from besides the generated ones.
     """
-    trained, kind = field(background_lines(df, text_col)), dict(df.dtypes)[id_col]
+    trained, kind = field(background), dict(df.dtypes)[id_col]
     if digest:
         names, kinds = [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"], ["long", "long", "long", "string", "string"]
     else:
