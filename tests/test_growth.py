@@ -47,6 +47,25 @@ def test_a_value_meets_a_glob_once_for_all_rows(spark):
     assert P.glob_matches(values, pats).select("n", "m").distinct().count() == 3000 * 40
 
 
+def test_values_and_their_pieces_are_not_broadcast(spark, monkeypatch):
+    values = spark.range(300).select("id", F.concat(F.lit("item"), F.col("id") % 50).alias("value"), (F.col("id") % 3).alias("kind"))
+    globs = [("a", "item1?"), ("b", "item1?"), ("c", "*m?7*"), ("d", "?????"), ("e", "none*"), ("f", None)]
+    rows = [(n, g, g and "^" + g.replace("*", ".*").replace("?", ".") + "$", k) for n, g in globs for k in range(2)]
+    pats = spark.createDataFrame(rows, "name string, glob string, regex string, kind long")
+    every = values.crossJoin(pats.withColumnRenamed("kind", "of")).where(F.rlike("value", F.col("regex")))
+    for few in (0, 100):
+        monkeypatch.setattr(P, "FEW", few, raising=False)
+        for by in ([], ["kind"]):
+            found = P.glob_matches(values, pats if by else pats.drop("kind"), by=by)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("BroadcastExchange") == (1 if few else 0) and "BuildLeft" not in plan
+            pairs = P.glob_pairs(values, pats, by=by)._jdf.queryExecution().executedPlan().toString()
+            assert pairs.count("BroadcastExchange") == (2 if few else 0) and "BuildLeft" not in pairs
+            want = every.where("kind = of") if by else every
+            got, want = (df.select("id", "name", "glob").collect() for df in (found, want))
+            assert sorted(got) == sorted(want) and len(want) > 50
+
+
 def test_pages_that_share_an_address_are_all_judged(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet").where("page_id < 12")
     pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 101)).write.parquet(f"{tmp_path}/pages.parquet")
