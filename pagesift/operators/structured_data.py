@@ -80,11 +80,26 @@ def walk(value, base: str, properties: bool = True) -> list[dict]:
     return found
 
 
+def ids(value, base: str) -> list[dict]:
+    """The id of each node of ``walk`` and whether it is defined there, and nothing else."""
+    found, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += x[::-1]
+        elif isinstance(x, dict):
+            named = isinstance(node_id := x.get("@id"), str)
+            found.append({"id": _absolute(node_id, base) if named else None, "defines": named and len(x) > 1 + ("@context" in x)})
+            todo += [v for k, v in reversed(x.items()) if k != "@context" and isinstance(v, (dict, list))]
+    return found
+
+
 def nodes(blocks: Column, url: Column, only: Sequence[str] = ()) -> Column:
     """array of nodes of a page's JSON-LD texts; a text that is no JSON has none. Null blocks give null. With ``only``
     nodes have no more than these fields, and of nodes that are alike in them a page gives one."""
     kind = pa.list_(pa.struct([f for f in _TYPE.value_type if not only or f.name in only]))
     fields = [f.name for f in kind.value_type]
+    look = ids if only and set(only) <= {"id", "defines"} else lambda v, base: walk(v, base, not only or "properties" in only)
     ddl = NODES if not only else "array<struct<" + ", ".join(f"{n}: {_KINDS[n]}" for n in fields) + ">>"
 
     def read(texts, base):
@@ -94,7 +109,9 @@ def nodes(blocks: Column, url: Column, only: Sequence[str] = ()) -> Column:
                 values.append(json.loads(t))
             except (TypeError, ValueError, RecursionError):  # the last of what is nested beyond reading
                 continue
-        found = [n for v in values for n in walk(v, base, not only or "properties" in only) if not (isinstance(v, dict) and "@error" in v)]
+        found = [n for v in values for n in look(v, base) if not (isinstance(v, dict) and "@error" in v)]
+        if look is ids:
+            return list({(n["id"], n["defines"]) if len(fields) == 2 else n[fields[0]]: n for n in found}.values())
         return list({repr(t): t for n in found for t in [{f: n[f] for f in fields}]}.values()) if only else found
 
     @F.arrow_udf(ddl)
@@ -170,12 +187,12 @@ def dangling(found: DataFrame) -> DataFrame:
     blank = F.col("id").startswith("_:")
     open_refs = told.where("id IS NOT NULL AND NOT defines").select("id", "href", blank.alias("blank"))
     own = open_refs.where("blank").groupBy("id").agg(F.count("*").alias("pages"))
+    # A page is what its ids begin with: of what pages define only ids of their own can be meant, and no more than these are dealt. Hot targets are counted first.
     at = F.when(F.contains("id", F.lit("#")), F.split_part("id", F.lit("#"), F.lit(1)))
-    # Hot targets are counted before they meet what their page defines.
     away = open_refs.where("NOT blank").groupBy("id").agg(F.count("*").alias("pages")).withColumn("at", at)
+    there = told.where(F.col("defines") & (at == F.col("href"))).select("id").hint("merge")
     known = told.select(F.col("href").alias("at")).distinct().hint("merge")
-    there = told.where("defines").select(F.col("href").alias("at"), "id").hint("merge")
-    lost = away.where("at IS NOT NULL").join(known, "at", "left_semi").join(there, ["at", "id"], "left_anti")
+    lost = away.where("at IS NOT NULL").join(there, "id", "left_anti").join(known, "at", "left_semi")
     return own.unionByName(lost.select("id", "pages"))
 
 

@@ -1,9 +1,11 @@
 """Steps whose work used to outgrow their tables, and rows that used to be lost, beside plain results."""
 
+import json
+
 import duckdb
 from pyspark.sql import functions as F
 
-from pagesift.functions import document
+from pagesift.functions import document, markup, weburl
 from pagesift.operators import insights, site
 from pagesift.operators import links as links_of
 from pagesift.operators import patterns as P
@@ -125,3 +127,22 @@ def test_few_groups_are_sent_to_the_rows(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin" in plan
+
+
+def test_plain_urls_and_simple_pages_are_read_without_the_long_way(monkeypatch):
+    bases = ["https://e.example/", "http://e.example/a/b", "https://e.example/a#x", "https://e.example", "https://e.example/a?b", "https://e.example:443/", "https://E.example/a", "ftp://e.example/", "http://[::1/", ""]
+    refs = ["", "#me", "#", "#a b", "#%41", "/7", "/", "/a/b/", "/a//b", "/a/../b", "/.a", "//h.example/x", "a/b", "_:a", "https://e.example/7#me", "https://e.example", "https://E.example/7", "https://e.example:443/7", "https:/e.example/7", "http://h.example/a/./b", "https://e.example/7\n", "https://\u00fc.example/7", "/a;b", "/a?b"]
+    assert [weburl.resolve(b, r) for b in bases for r in refs] == [weburl._resolve(b, r) for b in bases for r in refs]
+    item = '<p itemscope itemid="#me" itemid="#you"><b itemprop="name x">x<br> y > z</b>'
+    pages = [item, item + "</p></i><li>q", item + "<table><tr><td typeof itemprop=\"c\" content=\"\">v<td itemprop=\"d\">w<tr>", item + '<a typeof="schema:A" property="p" href="/1">up</a>', item + "<!-- <p itemscope> -->", item + "&amp;", item + "<script><p itemscope></script>", item + "<title><p itemscope></title>", item + "<A ITEMPROP=q>x</A>", item + "<p itemscope", item + "<br/>< 3"]
+    fast = [markup.read(p, "https://e.example/7") for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(markup, "_read_simple", lambda html, url: None)
+        assert fast == [markup.read(p, "https://e.example/7") for p in pages]
+    blocks = ['{"@graph": [{"@id": "#me", "name": "x"}, {"@context": {"@id": "#no"}, "@id": "/8#me"}, {"a": [[{"@id": "_:a", "b": {"@id": 3}}]]}]}', "[1, null]", "7"]
+    for b in map(json.loads, blocks):
+        assert J.ids(b, "https://e.example/7") == [{"id": n["id"], "defines": n["defines"]} for n in J.walk(b, "https://e.example/7")]
+    with monkeypatch.context() as m:
+        m.setattr(weburl, "urljoin", None)
+        m.setattr(markup._Items, "feed", None)
+        assert markup.read(item, "https://e.example/7")["microdata"] == ['{"@id": "https://e.example/7#me", "name": "x y > z", "x": "x y > z"}']
